@@ -117,7 +117,9 @@ def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 2e-3, most
     """Return (multiplicity, pieces by size) so that the patterns' pieces are exactly the demand.
 
     Columns are generated until the linear program is within `gap` of its lower bound.
-    Prices are smoothed towards those of the best bound, which saves most steps.
+    Prices are smoothed towards those of the best bound, which saves most steps.  Sums are
+    elementwise: the matrices are small, and threads of a linear algebra library would fight
+    with the driver's.
     """
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), dtype=np.int64)
     if not len(sizes):
@@ -125,22 +127,22 @@ def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 2e-3, most
     d = np.array([demand[int(s)] for s in sizes], dtype=np.float64)
     columns = [np.where(np.arange(len(sizes)) == i, capacity // s, 0) for i, s in enumerate(sizes)]
     inverse = np.diag([1 / c[i] for i, c in enumerate(columns)])
-    x = inverse @ d
-    steady, bound = sizes / capacity, sizes @ d / capacity
-    for step in range(most_steps):
+    x = (inverse * d).sum(axis=1)
+    steady, bound = sizes / capacity, (sizes * d).sum() / capacity
+    for _ in range(most_steps):
         duals = inverse.sum(axis=0)
         if x.sum() <= bound * (1 + gap):
             break
         for weight in (0.9, 0.0):
             smooth = np.maximum(weight * steady + (1 - weight) * duals, 0)
             value, column = price(smooth, sizes, capacity)
-            if (found := smooth @ d / max(value, 1)) > bound:
+            if (found := (smooth * d).sum() / max(value, 1)) > bound:
                 bound, steady = found, smooth / max(value, 1)
-            if duals @ column > 1 + 1e-9:
+            if (duals * column).sum() > 1 + 1e-9:
                 break
         else:
             break
-        direction = inverse @ column
+        direction = (inverse * column).sum(axis=1)
         ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -149,9 +151,7 @@ def cutting_stock(demand: dict[int, int], capacity: int, gap: float = 2e-3, most
         inverse -= np.outer(direction, pivot)
         inverse[out] = pivot
         columns[out] = column
-        if step % 100 == 99:
-            inverse = np.linalg.inv(np.array(columns, dtype=np.float64).T)
-        x = np.maximum(inverse @ d, 0)
+        x = np.maximum((inverse * d).sum(axis=1), 0)
     left, plan = {int(s): int(demand[int(s)]) for s in sizes}, []
     for column, times in zip(columns, np.floor(x + 1e-6), strict=True):
         pattern = {int(s): int(n) for s, n in zip(sizes, column, strict=True) if n}
