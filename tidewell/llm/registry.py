@@ -66,8 +66,99 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_packing, op3_url_filter, op4_prefix_bpe, op5_substring_dedup, op6_simhash, op7_exact_dedup, op10_sharding)
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.pii import KINDS, find, shown
+
+    found = find(table(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.language_id import fit_sample, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_sample(docs)
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(found).alias("held_out"), "lang_pred", "score")
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_packing, op2_pii, op3_url_filter, op4_prefix_bpe, op5_substring_dedup, op6_simhash, op7_exact_dedup, op8_language_id, op9_nearest, op10_sharding)
 
 
 def queries():
     return {f.__name__: f for f in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op3_url_filter": _url_sql(), "op5_substring_dedup": REPEATS_SQL, "op7_exact_dedup": EXACT_SQL, "op9_nearest": NEAREST_SQL}
+
+
+EXACT_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
+"""
+
+NEAREST_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+             AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+p AS (SELECT a.vec_id AS query_id, b.vec_id,
+             sqrt(list_reduce(list_transform(range(1, len(a.v) + 1), i -> (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])), (x, y) -> x + y)) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+WHERE rank <= 10
+"""
+
+REPEATS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM w, unnest(range(1, len(ws) - 11)) AS t(i)),
+low AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (k) WHERE lo < doc_id),
+words AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _url_sql() -> str:
+    cases = sorted(URL_RULES, key=lambda r: (-len(r[0] + r[1]), -len(r[0])))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for h, p, _ in cases) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in cases) + " END"
+
+    def strength(children: str, parent: str) -> str:
+        return f"""(SELECT (1 - rho) / rho AS m FROM (SELECT least(greatest(coalesce(CASE WHEN sum(den) > 0 THEN sum(num) / sum(den) END, 0), 0.0001), 0.99) AS rho FROM (
+          SELECT pq - ps * p - p * (1 - p) * (k - 1) AS num, p * (1 - p) * (pn - pn2 / pn - (k - 1)) AS den FROM (
+            SELECT sum(n) AS pn, sum(s) AS ps, sum(n * n) AS pn2, sum(s * s / n) AS pq, count(*) AS k, sum(s) / sum(n) AS p FROM {children} WHERE n > 0 GROUP BY {parent}))))"""
+
+    return rf"""
+WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                      regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+good AS (SELECT doc_id AS page_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+hosts AS (SELECT *, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, 0 AS whole FROM (
+  SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS s FROM parts LEFT JOIN good USING (page_id) GROUP BY host)),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(s) AS s FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, 0 AS whole, sum(n) AS n, sum(s) AS s FROM domains GROUP BY ALL),
+mu0 AS (SELECT (sum(s) + 1) / (sum(n) + 2) AS mu0 FROM suffixes),
+mu1 AS (SELECT suffix, (s + m * mu0) / (n + m) AS mu1 FROM suffixes, mu0, {strength("suffixes", "whole")}),
+mu2 AS (SELECT domain, (s + m * mu1) / (n + m) AS mu2 FROM domains JOIN mu1 USING (suffix), {strength("domains", "suffix")}),
+beta AS (SELECT host, s + m * mu2 AS a, n - s + m * (1 - mu2) AS b FROM hosts JOIN mu2 USING (domain), {strength("hosts", "domain")}),
+bound AS (SELECT host, a / (a + b) + 1.645 * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)) AS upper FROM beta)
+SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts JOIN bound USING (host)
+"""

@@ -98,8 +98,8 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     fp = F.col("fp")
     cut = _segments(distance)
     table = fps.select("fp", F.posexplode(F.array(*[_value(fp, a, w) for a, w in cut])).alias("seg", "key"))
-    wanted = F.explode(F.flatten(F.array(*[F.transform(_probe(fp, a, w), lambda k, i=i: F.struct(F.lit(i).alias("seg"), k.alias("key"))) for i, (a, w) in enumerate(cut)]))).alias("p")
-    probes = fps.select("fp", wanted).select(F.col("fp").alias("probe"), "p.seg", "p.key")
+    probes = fps.select(F.col("fp").alias("probe"), F.posexplode(F.array(*[_probe(fp, a, w) for a, w in cut])).alias("seg", "keys"))
+    probes = probes.select("probe", "seg", F.explode("keys").alias("key"))
     sizes = scratch.written(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "simhash-hot")
     pair = F.bit_count(F.col("probe").bitwiseXOR(F.col("fp"))) <= distance
     if sizes.isEmpty():
