@@ -113,10 +113,10 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 
 NEAREST_SQL = """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
-             AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+           WHERE vec_id IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+             AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
 p AS (SELECT a.vec_id AS query_id, b.vec_id,
-             sqrt(list_reduce(list_transform(range(1, len(a.v) + 1), i -> (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])), (x, y) -> x + y)) AS score
+             sqrt(list_reduce(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])), lambda x, y: x + y)) AS score
       FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0)
 SELECT query_id, rank, vec_id, score FROM (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
