@@ -44,6 +44,8 @@ def _state(staged: DataFrame, path: str) -> DataFrame:
     spark.conf.set(name, ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
+    # Else each partition's store takes 4 MB for its manifest, however small it is.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     try:
         keyed = (
             spark.readStream.schema(staged.schema)
