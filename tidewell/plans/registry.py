@@ -1,17 +1,601 @@
-"""All queries over the reference tables, with SQL for DuckDB."""
+"""All queries of the engine's own operators over the test tables, with SQL for DuckDB."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.functions import bits, codecs
+from tidewell.operators import column, index, kv
+from tidewell.plans.query import Alias, Select
+from tidewell.plans.tables import Customer, Lineitem, Nation, NationPeer, Orders, Part, Supplier
+from tidewell.sources import tiers
+from tidewell.streaming import oplog, traces
+
+_queries: dict = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        _queries[key] = f
+        if sql:
+            _sql[key] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def on(spark: SparkSession, sf_dir: str, base) -> Select:
+    """A builder query over Parquet files."""
+
+    def read(table) -> DataFrame:
+        if table is NationPeer:
+            nation = load(spark, sf_dir, "nation")
+            return nation.select("n_nationkey", "n_name", ((F.col("n_nationkey") + 1) % 25).alias("peer_key"))
+        return load(spark, sf_dir, table.name)
+
+    return Select(base, read)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return join_fk(spark, sf_dir)
+
+
+def _builder(name: str, base, make, sql: str) -> None:
+    _queries[name] = lambda spark, sf_dir: make(on(spark, sf_dir, base), spark, sf_dir).df()
+    _sql[name] = sql
+
+
+_PRICE = "SELECT o_orderkey, o_totalprice FROM orders WHERE "
+_builder("scan_all", Nation, lambda q, s, d: q.select("*"), "SELECT * FROM nation")
+_builder("project", Orders, lambda q, s, d: q.select(Orders.o_totalprice, Orders.o_orderstatus, Orders.o_totalprice), "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+_builder("filter_eq", Orders, lambda q, s, d: q.select(Orders.o_orderstatus).where(Orders.o_orderstatus == "F"), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+_builder("filter_ne", Orders, lambda q, s, d: q.select(Orders.o_orderstatus).where(Orders.o_orderstatus != "F"), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
+_builder("filter_gt", Orders, lambda q, s, d: q.select(Orders.o_totalprice).where(Orders.o_totalprice > 100000.0), _PRICE + "o_totalprice > 100000")
+_builder("filter_lt", Orders, lambda q, s, d: q.select(Orders.o_totalprice).where(Orders.o_totalprice < 100000.0), _PRICE + "o_totalprice < 100000")
+_builder("filter_ge", Orders, lambda q, s, d: q.select(Orders.o_totalprice).where(Orders.o_totalprice >= 250000), _PRICE + "o_totalprice >= 250000")
+_builder("filter_le", Orders, lambda q, s, d: q.select(Orders.o_totalprice).where(Orders.o_totalprice <= 5000), _PRICE + "o_totalprice <= 5000")
+_builder("filter_between", Orders, lambda q, s, d: q.select(Orders.o_totalprice).where(Orders.o_totalprice.between(1000, 50000)), _PRICE + "o_totalprice BETWEEN 1000 AND 50000")
+_builder("filter_in_list", Customer, lambda q, s, d: q.select(Customer.c_mktsegment).where(Customer.c_mktsegment.found_in(["BUILDING", "MACHINERY"])), "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+_builder("filter_and", Orders, lambda q, s, d: q.select(Orders.o_totalprice).where((Orders.o_orderstatus == "O") & (Orders.o_totalprice > 200000.0)), _PRICE + "o_orderstatus = 'O' AND o_totalprice > 200000")
+_builder("filter_or", Orders, lambda q, s, d: q.select(Orders.o_totalprice).where((Orders.o_orderstatus == "P") | (Orders.o_totalprice > 300000.0)), _PRICE + "o_orderstatus = 'P' OR o_totalprice > 300000")
+_builder("filter_chained", Orders, lambda q, s, d: q.select(Orders.o_totalprice).where(Orders.o_orderstatus == "F").where(Orders.o_totalprice < 50000.0), _PRICE + "o_orderstatus = 'F' AND o_totalprice < 50000")
+_builder("filter_col_col", Lineitem, lambda q, s, d: q.select(Lineitem.l_linenumber, Lineitem.l_tax, Lineitem.l_discount).where(Lineitem.l_tax > Lineitem.l_discount), "SELECT l_orderkey, l_linenumber, l_tax, l_discount FROM lineitem WHERE l_tax > l_discount")
+_builder("filter_quoted_string", Customer, lambda q, s, d: q.select(Customer.c_name).where((Customer.c_name != "O'x") & (Customer.c_mktsegment != "it's")), "SELECT c_custkey, c_name FROM customer WHERE c_name <> 'O''x' AND c_mktsegment <> 'it''s'")
+_builder(
+    "join_star", Lineitem,
+    lambda q, s, d: q.select(Lineitem.l_linenumber, Orders.o_orderstatus, Part.p_brand, Supplier.s_name).join(Orders.o_orderkey).join(Part.p_partkey).join(Supplier.s_suppkey).where(Lineitem.l_quantity > 45.0),
+    "SELECT l_orderkey, l_linenumber, o_orderstatus, p_brand, s_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45",
+)
+
+
+@query("SELECT o_orderkey, o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice BETWEEN 1000 AND 100000")
+def join_fk(spark, sf_dir):
+    wanted = (Customer.c_mktsegment == "BUILDING") & Orders.o_totalprice.between(1000, 100000)
+    return on(spark, sf_dir, Orders).select(Orders.o_totalprice, Customer.c_name).join(Customer.c_custkey).where(wanted).df()
+
+
+@query("SELECT s_suppkey, s_name, n.n_name FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey WHERE n.n_regionkey = 1")
+def join_alias(spark, sf_dir):
+    n = Alias(Nation, "n")
+    return on(spark, sf_dir, Supplier).select(Supplier.s_name, n.n_name).join(n.n_nationkey).where(n.n_regionkey == 1).df()
+
+
+@query("SELECT a.n_nationkey, a.n_name AS nation_peer_n_name, b.n_name AS b_n_name FROM nation a JOIN nation b ON (a.n_nationkey + 1) % 25 = b.n_nationkey")
+def join_self(spark, sf_dir):
+    b = Alias(Nation, "b")
+    return on(spark, sf_dir, NationPeer).select(NationPeer.n_name, b.n_name).join(b.n_nationkey).df()
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def filter_in_subquery(spark, sf_dir):
+    rich = on(spark, sf_dir, Customer).where(Customer.c_acctbal > 5000.0)
+    return on(spark, sf_dir, Orders).select(Orders.o_custkey).where(Orders.o_custkey.found_in(rich)).df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2)")
+def semi_join_nested(spark, sf_dir):
+    inner = on(spark, sf_dir, Customer).join(Nation.n_nationkey).where(Nation.n_regionkey == 2)
+    return on(spark, sf_dir, Orders).where(Orders.o_custkey.found_in(inner)).df()
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def raw_sql(spark, sf_dir):
+    load(spark, sf_dir, "customer").createOrReplaceTempView("tidewell_customer")
+    return spark.sql("SELECT c_mktsegment, count(*) AS n FROM tidewell_customer GROUP BY c_mktsegment")
+
+
+# Tiers: even keys are cold, odd keys hot.
+
+
+def _tiers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    orders = load(spark, sf_dir, "orders")
+    return orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1")
+
+
+def _tiered(spark, sf_dir) -> Select:
+    both = tiers.union_tiers(*_tiers(spark, sf_dir))
+    return Select(Orders, lambda t: both if t is Orders else load(spark, sf_dir, t.name))
+
+
+@query("SELECT * FROM orders")
+def tiered_scan(spark, sf_dir):
+    return _tiered(spark, sf_dir).select("*").df()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'O'")
+def tiered_filter(spark, sf_dir):
+    return _tiered(spark, sf_dir).select(Orders.o_totalprice).where((Orders.o_totalprice > 150000.0) & (Orders.o_orderstatus == "O")).df()
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0")
+def tiered_join(spark, sf_dir):
+    return _tiered(spark, sf_dir).select(Customer.c_name).join(Customer.c_custkey).where(Customer.c_acctbal < 0.0).df()
+
+
+@query("SELECT CASE WHEN o_orderkey <= e THEN 'cold' ELSE 'hot' END AS tier, count(*) AS n FROM orders, (SELECT max(o_orderkey) AS e FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100)) GROUP BY ALL")
+def tier_move(spark, sf_dir):
+    moved, rest = tiers.split_smallest(load(spark, sf_dir, "orders"), "o_orderkey", 100)
+    both = moved.withColumn("tier", F.lit("cold")).unionByName(rest.withColumn("tier", F.lit("hot")))
+    return both.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT * FROM (VALUES (-1, 'N'), (-2, 'N')) t(o_orderkey, o_orderstatus)")
+def insert_rows(spark, sf_dir):
+    new = spark.sql("SELECT * FROM VALUES (-1L, 'N'), (-2L, 'N') AS t(o_orderkey, o_orderstatus)")
+    return tiers.union_tiers(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), new)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -1, 'X'")
+def upsert_rows(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    changed = orders.where("o_orderkey % 10 = 0").select("o_orderkey").unionByName(spark.sql("SELECT -1L AS o_orderkey"))
+    return tiers.upsert(orders, changed.withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0")
+def delete_keys(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders").select("o_orderkey")
+    return tiers.delete_keys(orders, orders.where("o_orderkey % 7 = 0"), "o_orderkey")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) + (SELECT max(o_orderkey) FROM orders) AS new_id FROM customer")
+def assign_pk(spark, sf_dir):
+    last = load(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return tiers.assign_pk(load(spark, sf_dir, "customer").select("c_custkey"), "new_id", last, ["c_custkey"])
+
+
+@query("SELECT count(*) AS n FROM orders")
+def count_rows(spark, sf_dir):
+    return tiers.union_tiers(*_tiers(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Columns
+
+
+def _status(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("value"))
+
+
+def _amounts(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "value")
+
+
+def _puts(spark, sf_dir) -> DataFrame:
+    """Many values for a row: user_id -> event_type in order of event_id."""
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("row_id"), F.col("event_type").alias("value"))
+
+
+_RUNS = """SELECT o_orderstatus AS value, min(o_orderkey) AS start, {last} FROM (
+  SELECT o_orderkey, o_orderstatus, o_orderkey - row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS i FROM orders {where}) GROUP BY o_orderstatus, i"""
+
+
+@query("SELECT o_orderkey AS row_id, o_orderstatus AS value FROM orders WHERE o_orderkey = 77")
+def column_get(spark, sf_dir):
+    return _status(spark, sf_dir).where("row_id = 77")
+
+
+@query("SELECT value, row_number() OVER (ORDER BY f) - 1 AS value_index FROM (SELECT o_orderstatus AS value, min(o_orderkey) AS f FROM orders GROUP BY 1)")
+def dictionary_encode(spark, sf_dir):
+    return column.dictionary_encode(_status(spark, sf_dir))
+
+
+@query(_RUNS.format(last="max(o_orderkey) - min(o_orderkey) AS extra", where=""))
+def rle_encode(spark, sf_dir):
+    return column.rle_encode(_status(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS row_id, o_orderstatus AS value FROM orders")
+def rle_decode(spark, sf_dir):
+    return column.rle_decode(column.rle_encode(_status(spark, sf_dir)))
+
+
+@query(_RUNS.format(last='max(o_orderkey) AS "end"', where=""))
+def segments(spark, sf_dir):
+    return column.segments(_status(spark, sf_dir))
+
+
+@query(_RUNS.format(last='max(o_orderkey) AS "end"', where="WHERE o_orderstatus < 'P'"))
+def predicate_segments(spark, sf_dir):
+    return column.predicate_segments(_status(spark, sf_dir), F.col("value") < "P")
+
+
+@query(_RUNS.format(last='max(o_orderkey) AS "end"', where="WHERE o_orderstatus < 'P'"))
+def predicate_segments_udf(spark, sf_dir):
+    return column.predicate_segments_udf(_status(spark, sf_dir), lambda s: s < "P")
+
+
+@query("SELECT event_id AS row_id, event_type, value FROM events")
+def column_zip(spark, sf_dir):
+    events = load(spark, sf_dir, "events")
+    kinds = events.select(F.col("event_id").alias("row_id"), F.col("event_type").alias("value"))
+    return column.column_zip(kinds, _amounts(spark, sf_dir), "event_type", "value")
+
+
+@query("SELECT user_id AS row_id, max_by(event_type, event_id) AS value FROM events GROUP BY user_id")
+def cell_latest(spark, sf_dir):
+    return column.cell_latest(_puts(spark, sf_dir))
+
+
+@query("SELECT user_id AS row_id, min(event_type) AS value FROM events GROUP BY user_id")
+def cell_smallest(spark, sf_dir):
+    return column.cell_smallest(_puts(spark, sf_dir))
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type")
+def value_frequency(spark, sf_dir):
+    return column.value_frequency(_puts(spark, sf_dir))
+
+
+@query("SELECT count(DISTINCT value) AS n_distinct FROM events")
+def count_distinct(spark, sf_dir):
+    return _amounts(spark, sf_dir).agg(F.count_distinct("value").alias("n_distinct"))
+
+
+@query("SELECT CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS fold_sum FROM events")
+def agg_fold_sum(spark, sf_dir):
+    return column.fold_sum(_amounts(spark, sf_dir))
+
+
+@query("SELECT least(0.0, min(value)) AS fold_min, greatest(0.0, max(value)) AS fold_max FROM events")
+def agg_fold_minmax(spark, sf_dir):
+    return column.fold_min_max(_amounts(spark, sf_dir))
+
+
+@query("SELECT count(value) AS fold_count FROM events")
+def agg_fold_count(spark, sf_dir):
+    return column.fold_count(_amounts(spark, sf_dir))
+
+
+@query("SELECT CAST(sum(l_linenumber) AS DOUBLE) AS result FROM lineitem")
+def agg_fold_custom(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("value"))
+    return column.fold(rows, lambda value, total, n: total + value * n)
+
+
+@query("SELECT event_id AS ordinal, value FROM events WHERE event_id IN (0, 5, 99)")
+def ordinal_lookup(spark, sf_dir):
+    return _amounts(spark, sf_dir).where(F.col("row_id").isin(0, 5, 99)).select(F.col("row_id").alias("ordinal"), "value")
+
+
+@query("SELECT count(*) AS n, count_if(user_id <> 0) AS n_live FROM events")
+def map_count(spark, sf_dir):
+    return load(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("user_id") != 0).alias("n_live"))
+
+
+# Ordered index: l_partkey -> l_suppkey
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("ptr"))
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    op = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "i", "view", "s", "click", "s", "error", "d", "purchase", "u")]), F.col("event_type"))
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("key"), F.col("event_id").alias("ptr"))
+
+
+_LOG = "(SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'i' WHEN 'error' THEN 'd' WHEN 'purchase' THEN 'u' ELSE 's' END AS op, user_id AS key, event_id AS ptr FROM events)"
+# Payloads grow with time, so removing the smallest removes the oldest: the queue's length is a walk kept at zero from below for removals of nothing.
+_WALK = f"""WITH log AS {_LOG}, steps AS (SELECT *, CASE op WHEN 'i' THEN 1 WHEN 'd' THEN -1 ELSE 0 END AS step, row_number() OVER (PARTITION BY key ORDER BY seq) AS t FROM log),
+walk AS (WITH RECURSIVE w AS (SELECT key, t, seq, op, ptr, list_filter([CASE WHEN op IN ('i', 'u') THEN ptr END], lambda x: x IS NOT NULL) AS live, CAST([] AS BIGINT[]) AS before FROM steps WHERE t = 1
+  UNION ALL SELECT s.key, s.t, s.seq, s.op, s.ptr,
+    CASE s.op WHEN 's' THEN w.live WHEN 'i' THEN list_append(w.live, s.ptr) WHEN 'd' THEN w.live[2:] ELSE list_append(w.live[2:], s.ptr) END, w.live
+  FROM w JOIN steps s ON s.key = w.key AND s.t = w.t + 1) SELECT * FROM w)
+"""
+
+
+@query("SELECT l_partkey AS key, l_suppkey AS ptr FROM lineitem")
+def index_bulkload(spark, sf_dir):
+    return index.bulkload(_entries(spark, sf_dir))
+
+
+@query("SELECT count(*) AS n, min(l_suppkey) AS ptr FROM lineitem WHERE l_partkey = 42")
+def index_point(spark, sf_dir):
+    return index.point(_entries(spark, sf_dir), 42)
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_partkey BETWEEN 10 AND 500")
+def index_range_count(spark, sf_dir):
+    return index.range_count(_entries(spark, sf_dir), 10, 500)
+
+
+@query("SELECT l_partkey AS key, l_suppkey AS ptr FROM lineitem WHERE l_partkey >= 100 ORDER BY 1, 2 LIMIT 50")
+def index_scan_next(spark, sf_dir):
+    return index.scan_next(_entries(spark, sf_dir), 100, 50)
+
+
+@query("SELECT count(*) AS n, count_if(before > o_custkey) AS violations FROM (SELECT o_custkey, lag(o_custkey) OVER (ORDER BY o_orderkey) AS before FROM orders)")
+def sorted_check(spark, sf_dir):
+    return index.sorted_check(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("key")))
+
+
+def _levels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Entries; and above them a run that takes back those of every tenth line and adds some."""
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("ptr"), "l_quantity")
+    low = lines.select("key", "ptr", F.lit(False).alias("is_filter"))
+    up = lines.where("l_quantity > 40").select("key", "ptr", F.lit(True).alias("is_filter"))
+    return low, up.unionByName(lines.where("l_quantity < 3").select((F.col("key") + 1000000).alias("key"), "ptr", F.lit(False).alias("is_filter")))
+
+
+_MERGED = """(SELECT l_partkey AS key, l_suppkey AS ptr FROM lineitem EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 40)
+UNION ALL SELECT l_partkey + 1000000, l_suppkey FROM lineitem WHERE l_quantity < 3"""
+
+
+@query(f"SELECT key, ptr, false AS is_filter FROM ({_MERGED})")
+def run_merge(spark, sf_dir):
+    low, up = _levels(spark, sf_dir)
+    return index.run_merge(low, up)
+
+
+@query(_MERGED)
+def compaction(spark, sf_dir):
+    low, up = _levels(spark, sf_dir)
+    return index.compaction([up, low])
+
+
+@query("SELECT CAST(2 * i + 1 AS INTEGER) AS key FROM range(10000) t(i)")
+def gen_entries(spark, sf_dir):
+    from tidewell.sources.textfiles import generate_entries
+
+    return generate_entries(spark, 10_000).select("key")
+
+
+@query(f"SELECT n, n_search, n_insert, n_delete, n_update, n_search / n AS p_search, n_insert / n AS p_insert, n_delete / n AS p_delete, n_update / n AS p_update FROM (SELECT count(*) AS n, count_if(op = 's') AS n_search, count_if(op = 'i') AS n_insert, count_if(op = 'd') AS n_delete, count_if(op = 'u') AS n_update FROM {_LOG})")
+def oplog_mix(spark, sf_dir):
+    return index.oplog_mix(_log(spark, sf_dir))
+
+
+@query(f"SELECT (i + d + 2 * u) / (s + i + 2 * d + 3 * u) AS pressure FROM (SELECT count_if(op = 's') AS s, count_if(op = 'i') AS i, count_if(op = 'd') AS d, count_if(op = 'u') AS u FROM {_LOG})")
+def oplog_pressure(spark, sf_dir):
+    return index.oplog_pressure(_log(spark, sf_dir))
+
+
+@query(_WALK + "SELECT key, unnest(live) AS ptr FROM (SELECT key, arg_max(live, t) AS live FROM walk GROUP BY key)")
+def oplog_final_state(spark, sf_dir):
+    return oplog.final_state(_log(spark, sf_dir))
+
+
+@query(_WALK + "SELECT seq, key, CAST(len(before) AS BIGINT) AS n, before[1] AS ptr FROM walk WHERE op = 's'")
+def oplog_search_results(spark, sf_dir):
+    return oplog.search_results(_log(spark, sf_dir))
+
+
+@query()
+def cost_model_best_k(spark, sf_dir):
+    profile = {"random_read": 17e6, "sequential_write": 72e6}
+    return index.best_fan_out(spark, 1 << 30, 16 << 20, 0.2, profile)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def key_membership(spark, sf_dir):
+    keys = load(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return index.key_membership(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), keys, "o_custkey")
+
+
+@query("SELECT DISTINCT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#00000001') OR starts_with(c_name, 'Customer#1') OR starts_with(c_name, 'Customer#0000000')")
+def prefix_membership(spark, sf_dir):
+    prefixes = spark.sql("SELECT * FROM VALUES ('Customer#00000001'), ('Customer#1'), ('Customer#0000000') AS t(prefix)")
+    return index.prefix_membership(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), prefixes, "c_name")
+
+
+@query("SELECT p_name AS key, row_number() OVER (ORDER BY encode(p_name), p_partkey) AS pos FROM part")
+def sorted_keys(spark, sf_dir):
+    keys = load(spark, sf_dir, "part").select(F.col("p_name").alias("key"), "p_partkey", F.encode("p_name", "UTF-8").alias("raw"))
+    return tiers.assign_pk(keys, "pos", 0, ["raw", "p_partkey"]).select("key", "pos")
+
+
+# Key/value and extents
+
+
+def _kv(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value"))
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey < 100 THEN 500 ELSE o_custkey END AS value FROM orders")
+def kv_put(spark, sf_dir):
+    rows = _kv(spark, sf_dir)
+    return tiers.upsert(rows, rows.where("key < 100").withColumn("value", F.lit(500).cast("long")), "key")
+
+
+@query("SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey = 100")
+def kv_get(spark, sf_dir):
+    return _kv(spark, sf_dir).where("key = 100")
+
+
+@query("SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey >= 100")
+def kv_delete(spark, sf_dir):
+    rows = _kv(spark, sf_dir)
+    return tiers.delete_keys(rows, rows.where("key < 100"), "key")
+
+
+@query("SELECT o_orderkey AS key, o_custkey AS value FROM orders")
+def kv_rollback(spark, sf_dir):
+    rows = _kv(spark, sf_dir)
+    table = kv.VersionedTable(spark, "unused")
+    table._saved = lambda: rows
+    table.put(rows.withColumn("value", F.lit(250).cast("long")))
+    table.rollback()
+    return table.rows()
+
+
+@query("SELECT o_orderkey & 15 AS bucket, count(*) AS n FROM orders GROUP BY 1")
+def kv_bucket_histogram(spark, sf_dir):
+    return kv.bucket_histogram(_kv(spark, sf_dir), 4)
+
+
+def _extents(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("end"))
+
+
+@query("""WITH x AS (SELECT DISTINCT l_orderkey AS s, l_orderkey + l_linenumber AS e FROM lineitem),
+m AS (SELECT *, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM x),
+g AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (ORDER BY s, e) AS g FROM m)
+SELECT min(s) AS start, max(e) AS "end" FROM g GROUP BY g""")
+def extent_coalesce(spark, sf_dir):
+    return kv.coalesce_extents(_extents(spark, sf_dir), block=4096)
+
+
+@query()
+def extent_first_fit(spark, sf_dir):
+    wanted = spark.range(200).select(F.col("id").alias("seq"), (F.col("id") % 7 + 1).alias("count"))
+    return kv.first_fit(_extents(spark, sf_dir), wanted)
+
+
+# Scalars and codecs
+
+
+@query("SELECT event_id, event_id - 5000 AS v, 2 * abs(event_id - 5000) - CASE WHEN event_id < 5000 THEN 1 ELSE 0 END AS z FROM events")
+def zigzag_roundtrip(spark, sf_dir):
+    v = F.col("event_id") - 5000
+    return load(spark, sf_dir, "events").select("event_id", bits.unzigzag(bits.zigzag(v)).alias("v"), bits.zigzag(v).alias("z"))
+
+
+@query("SELECT event_id, CASE WHEN event_id < 64 THEN 1 WHEN event_id < 8192 THEN 2 WHEN event_id < 1048576 THEN 3 ELSE 4 END AS n FROM events")
+def varint_len(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", bits.varint_length(F.col("event_id")).alias("n"))
+
+
+@query("SELECT event_id AS v FROM events")
+def varint_roundtrip(spark, sf_dir):
+    return load(spark, sf_dir, "events").select(codecs.varint_decode(codecs.varint_encode("event_id")).alias("v"))
+
+
+def _text_roundtrip(spark, sf_dir, encode, decode):
+    raw = F.encode("text", "UTF-8")
+    return load(spark, sf_dir, "documents").select("doc_id", F.decode(decode(encode(raw)), "UTF-8").alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def codec_zlib_roundtrip(spark, sf_dir):
+    return _text_roundtrip(spark, sf_dir, codecs.zlib_compress, codecs.zlib_decompress)
+
+
+@query("SELECT doc_id, text FROM documents")
+def codec_lz4_roundtrip(spark, sf_dir):
+    return _text_roundtrip(spark, sf_dir, codecs.lz4_encode, codecs.lz4_decode)
+
+
+@query("SELECT o_orderkey, concat_ws(',', o_orderkey, o_custkey, 0, o_orderkey, 4294967295, o_custkey % 10) AS words FROM orders")
+def codec_wkdm_roundtrip(spark, sf_dir):
+    words = F.array(F.col("o_orderkey"), F.col("o_custkey"), F.lit(0).cast("long"), F.col("o_orderkey"), F.lit(4294967295), F.col("o_custkey") % 10)
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.array_join(codecs.wkdm_decode(codecs.wkdm_encode(words)).cast("array<string>"), ",").alias("words"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def sha256_digest(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT o_orderkey, array_to_string(list_transform(range(8), lambda k: lpad(printf('%X', (o_orderkey >> CAST(8 * k AS INTEGER)) & 255), 2, '0')), '') AS packed FROM orders")
+def pack_u64(spark, sf_dir):
+    return load(spark, sf_dir, "orders").select("o_orderkey", bits.pack_u64(F.col("o_orderkey")).alias("packed"))
+
+
+@query("SELECT event_id, CAST(least(length(bin(event_id + 1)) - 1, 7) AS INTEGER) AS level FROM events")
+def mq_level(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", bits.queue_level(F.col("event_id") + 1, 8).alias("level"))
+
+
+@query("SELECT p_partkey, p_size::BIGINT * CASE p_partkey % 3 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 ELSE 1073741824 END AS bytes FROM part")
+def parse_size(spark, sf_dir):
+    unit = F.element_at(F.array(F.lit("k"), F.lit("M"), F.lit("G")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return load(spark, sf_dir, "part").select("p_partkey", bits.parse_size(F.concat(F.col("p_size").cast("string"), unit)).alias("bytes"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey | 1073741824 ELSE o_orderkey END AS ptr, o_orderkey % 2 = 0 AS is_filter, o_orderkey & 536870911 AS payload FROM orders")
+def flag_bits(spark, sf_dir):
+    ptr = F.when(F.col("o_orderkey") % 2 == 0, bits.with_flag(F.col("o_orderkey"), bits.FILTER)).otherwise(F.col("o_orderkey"))
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", ptr.alias("ptr"))
+    return rows.select("o_orderkey", "ptr", bits.has_flag(F.col("ptr"), bits.FILTER).alias("is_filter"), bits.payload(bits.without_flag(F.col("ptr"), bits.FILTER)).alias("payload"))
+
+
+@query("SELECT o_orderkey, o_orderkey - o_orderkey % 512 AS page, CAST(ceil(ln((o_orderkey + 1000) / 256) / ln(4)) + 1 AS INTEGER) AS levels FROM orders")
+def page_math(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return load(spark, sf_dir, "orders").select("o_orderkey", bits.page_start(key, 512).alias("page"), bits.levels(key + 1000, 256, 4).alias("levels"))
+
+
+@query("SELECT o_orderkey, CAST(bit_count(o_orderkey) AS INTEGER) AS ones FROM orders")
+def bits_count(spark, sf_dir):
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.bit_count("o_orderkey").alias("ones"))
+
+
+@query("SELECT o_orderkey, o_orderkey & o_custkey AS a, o_orderkey | o_custkey AS o, xor(o_orderkey, o_custkey) AS x FROM orders")
+def bits_and_or_xor(spark, sf_dir):
+    a, b = F.col("o_orderkey"), F.col("o_custkey")
+    return load(spark, sf_dir, "orders").select("o_orderkey", a.bitwiseAND(b).alias("a"), a.bitwiseOR(b).alias("o"), a.bitwiseXOR(b).alias("x"))
+
+
+@query("SELECT o_orderkey, CAST(instr(lpad(bin(o_orderkey), 20, '0'), '101') - 1 AS INTEGER) AS at FROM orders")
+def bits_find(spark, sf_dir):
+    return load(spark, sf_dir, "orders").select("o_orderkey", bits.bits_find(bits.bits_of(F.col("o_orderkey"), 20), "101").alias("at"))
+
+
+# Traces
+
+
+@query()
+def mq_trace(spark, sf_dir):
+    trace = load(spark, sf_dir, "events").select(
+        (F.col("user_id") % 16).alias("cache"), F.col("event_id").alias("t"), F.when(F.col("event_type") == "view", "get").otherwise("put").alias("op"), F.hash("props").alias("key")
+    )
+    return traces.cache_trace(trace, 32)
+
+
+def _peers(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "events").select(F.col("user_id").alias("peer"), F.col("event_id").alias("seq"), "ts")
+
+
+@query("SELECT peer, ts AS last_seen FROM (SELECT user_id AS peer, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events) WHERE later IS NULL OR later - ts > INTERVAL 10 SECOND")
+def peer_expiry(spark, sf_dir):
+    return traces.peer_expiry(_peers(spark, sf_dir))
+
+
+@query("SELECT * FROM (SELECT user_id AS peer, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous, event_id AS seq FROM events) WHERE previous IS NOT NULL AND seq <> previous + 1")
+def sequence_gaps(spark, sf_dir):
+    return traces.sequence_gaps(_peers(spark, sf_dir))
+
+
+@query("""WITH m AS (SELECT user_id AS peer, user_id % 5 AS grp, arg_max(event_type = 'signup', event_id) AS joined FROM events WHERE event_type IN ('signup', 'error') GROUP BY ALL)
+SELECT event_id AS message, peer AS receiver FROM events JOIN m ON user_id % 5 = grp AND joined WHERE event_type = 'purchase' AND peer <> user_id""")
+def group_fanout(spark, sf_dir):
+    events = load(spark, sf_dir, "events")
+    group = (F.col("user_id") % 5).alias("group")
+    members = events.where("event_type in ('signup', 'error')").select(F.col("user_id").alias("peer"), group, F.col("event_id").alias("seq"), (F.col("event_type") == "signup").alias("joined"))
+    sent = events.where("event_type = 'purchase'").select(F.col("event_id").alias("message"), F.col("user_id").alias("sender"), group)
+    return traces.group_fanout(members, sent)
 
 
-def queries():
-    return {}
+def queries() -> dict:
+    return dict(_queries)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
