@@ -39,6 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Remove a table that `written` made and no plan will read again."""
+    paths = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    spark = table.sparkSession
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove every table written so far; call when their readers have ended."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()

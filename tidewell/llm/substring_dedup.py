@@ -9,7 +9,8 @@ name of an interior symbol with the words it depends on - the same in every copy
 one without such a symbol (in long runs) takes the window's own name.
 
 Spark counts in how many documents a mark occurs.  Only windows with a shared mark are named
-in full (128 bits) and compared; their least document decides, exactly.
+in full (96 bits) and compared; their least document decides, exactly.  A document that repeats a smaller one's whole word sequence
+goes as a whole by the sequence's own name, so groups of copies send one member's windows.
 
 Scale: about a fifth of the words' number in marks is shuffled once and combined map-side; all
 later exchanges hold shared marks and windows, and each text twice.  Marks and windows meet
@@ -88,22 +89,42 @@ def _groups(batch: pa.RecordBatch, most: int = GROUP_BYTES) -> Iterator[pa.Recor
 
 
 def _marks(docs: DataFrame, window: int) -> DataFrame:
+    """Each document's distinct marks; and its whole sequence's name (mark, more) with its number of words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _groups(batch):
-                text, _, mark = marks(*split(part.column(1)), window)
+                names, bounds = split(part.column(1))
+                text, _, mark = marks(names, bounds, window)
                 order = np.lexsort((mark, text))
                 text, mark = text[order], mark[order]
                 new = np.ones(len(mark), dtype=bool)
                 new[1:] = (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])
-                ids = part.column(0).take(pa.array(text[new]))
-                yield pa.RecordBatch.from_pydict({"mark": pa.array(mark[new].view(np.int64)), "doc_id": ids})
+                text, mark = text[new], mark[new]
+                whole, more = (named(sums(names, base), base, bounds[:-1], bounds[1:]).view(np.int64) for base in (ONE, TWO))
+                none = len(mark)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "mark": pa.array(np.concatenate((mark.view(np.int64), whole))),
+                        "more": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(more)]),
+                        "n": pa.concat_arrays([pa.nulls(none, pa.int32()), pa.array(np.diff(bounds), pa.int32())]),
+                        "doc_id": part.column(0).take(pa.array(np.concatenate((text, np.arange(len(more)))))),
+                    }
+                )
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "mark long, more long, n int, doc_id long")
+
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "mark long, doc_id long")
+def _copies(whole: DataFrame, window: int) -> DataFrame:
+    """Documents of one row whose whole word sequence is that of a document with a smaller doc_id: all their words go."""
+    once = whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.first("mark").alias("mark"), F.first("more").alias("more"), F.first("n").alias("n")).where("rows = 1")
+    low = whole.groupBy("mark", "more").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    return once.where(F.col("n") >= window).join(low, ["mark", "more"]).where("low < doc_id").select("doc_id")
 
 
 def _windows(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """Windows with a shared mark: doc_id, at, and their name in 128 bits."""
+    """Windows with a shared mark: doc_id, at, and their name in 96 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,11 +142,11 @@ def _windows(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                 h1 = named(sums(names, ONE), ONE, start, start + window)
                 h2 = named(sums(names, TWO), TWO, start, start + window)
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part.column(0).take(pa.array(text)), "at": pa.array(at, pa.int32()), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64))}
+                    {"doc_id": part.column(0).take(pa.array(text)), "at": pa.array(at, pa.int32()), "h1": pa.array(h1.view(np.int64)), "h2": pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))}
                 )
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(shared, "doc_id")
-    return joined.select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, at int, h1 long, h2 long")
+    return joined.select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, at int, h1 long, h2 int")
 
 
 def _kept(texts: DataFrame, window: int) -> DataFrame:
@@ -137,9 +158,10 @@ def _kept(texts: DataFrame, window: int) -> DataFrame:
                 n_words.append(len(words))
                 if ats.is_valid and len(ats):
                     gone = np.zeros(len(words) + 1, dtype=np.int64)
-                    own = np.unique(np.asarray(ats.values))
-                    np.add.at(gone, own, 1)
-                    np.add.at(gone, own + window, -1)
+                    own = np.asarray(ats.values)
+                    gone[own[own >= 0]] += 1  # no place occurs twice
+                    gone[own[own >= 0] + window] -= 1
+                    gone[0] += len(words) * int((own < 0).any())
                     words = [w for w, g in zip(words, (np.cumsum(gone) > 0).tolist(), strict=False) if not g]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
@@ -157,16 +179,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     doc_id is neither smaller nor larger than any, so its row stays whole.  Rows with the
     same doc_id count as one document's windows.  No rows: an empty result.
     """
+    spark = docs.sparkSession
     own = scratch.written(_marks(docs, window), "repeats-marks")
-    ends = own.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark")
+    copies = scratch.written(_copies(own.where("more is not null"), window), "repeats-copies")
+    own_marks = own.where("more is null").select("mark", "doc_id")
+    ends = own_marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark")
     common = scratch.written(ends, "repeats-common")
-    lists = scratch.written(own.join(common, "mark", "left_semi").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "repeats-lists")
-    scratch.release(docs.sparkSession)
+    scratch.release(spark)
+    lists = own_marks.join(common, "mark", "left_semi").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+    lists = scratch.written(lists.join(copies, "doc_id", "left_anti"), "repeats-lists")
+    scratch.drop(own)
+    scratch.release(spark)
     windows = scratch.written(_windows(docs, lists, window), "repeats-windows")
-    scratch.release(docs.sparkSession)
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
+    scratch.drop(lists)
+    scratch.release(spark)
+    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"))
     gone = windows.join(least, ["h1", "h2"]).where("low < doc_id").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    gone = scratch.written(gone, "repeats-gone")
-    scratch.release(docs.sparkSession)
+    gone = scratch.written(gone.unionByName(copies.select("doc_id", F.array(F.lit(-1)).alias("ats"))), "repeats-gone")
+    scratch.drop(windows)
+    scratch.release(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _kept(texts.join(gone, "doc_id", "left").select("doc_id", "text", "ats"), window)
