@@ -55,6 +55,8 @@ def longest_walk(n: int, a: int, keys=KEYS) -> int:
 
     There are fewer than 2a+1 of these, so the bound is exact and cheap.
     """
+    if not n:
+        return 0
     length: dict[int, int] = {}
     for x in range(n, a * a):
         chain = []
