@@ -59,10 +59,13 @@ def longest_walk(n: int, a: int, keys=KEYS) -> int:
         return 0
     length: dict[int, int] = {}
     for x in range(n, a * a):
-        chain = []
-        while x >= n and x not in length:
-            chain.append(x)
+        chain: dict[int, None] = {}
+        while x >= n and x not in length and x not in chain:
+            chain[x] = None
             x = feistel(x, a, keys)
+        if x in chain:  # a cycle of numbers from n on, which no walk enters
+            length.update(dict.fromkeys(chain, 0))
+            continue
         d = length.get(x, 0) if x >= n else 0
         for c in reversed(chain):
             d += 1
