@@ -36,11 +36,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies (five-word shingles)."""
-    from tidewell.llm.simhash import near_groups
+    """Keep the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
+    from tidewell.llm.simhash import similar_groups
 
     scratch.clear(spark)
-    groups = near_groups(docs, size=5)
+    groups = similar_groups(docs)
     gone = scratch.written(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(few, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -46,7 +46,7 @@ def test_sql(spark, name):
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup.exact_groups(none).count() == exact_dedup.exact_dedup(none).count() == 0
-    assert sharding.shard(none).count() == simhash.near_groups(none).count() == 0
+    assert sharding.shard(none).count() == simhash.near_groups(none).count() == simhash.similar_groups(none).count() == 0
     assert substring_dedup.remove_repeats(none).count() == pii.find(none).count() == pii.redact(none).count() == 0
     assert bpe.encode(none, RANKS, public_tokenizers.PATTERN).count() == 0
     assert packing.pack(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
@@ -164,6 +164,28 @@ def test_links_have_the_components_of_all_pairs(spark, monkeypatch, hot):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_similar_groups(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", limit)
+    rng = random.Random(4)
+    texts = corpus()
+    for base in range(6):
+        words = [f"w{rng.randint(0, 999)}" for _ in range(rng.choice([60, 200, 500]))]
+        for _ in range(6):
+            copy = [f"v{rng.randint(0, 99)}" if rng.random() < rng.choice([0.005, 0.02, 0.05]) else w for w in words]
+            texts.append((len(texts), " ".join(copy)))
+    texts += [(None, texts[-1][1]), (None, "all alone"), (len(texts), texts[-1][1].upper())]
+    sets = [frozenset(simhash.shingle_hashes(t or "", 5).tolist()) for _, t in texts]
+    root = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            root = [root[a] if r == root[b] else r for r in root]
+    least = {r: min((i for (i, _), q in zip(texts, root, strict=True) if q == r and i is not None), default=None) for r in root}
+    wanted = sorted(((i, least[r]) for (i, _), r in zip(texts, root, strict=True)), key=str)
+    found = simhash.similar_groups(frame(spark, texts)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == wanted
+
+
 def test_simhash(spark):
     texts = corpus()
     rows = {r.doc_id: r for r in simhash.near_groups(frame(spark, texts)).collect()}

@@ -13,10 +13,15 @@ the least fingerprint at the point keeps every link's component.
 
 Scale: copies collapse to one fingerprint before any link is sought; each fingerprint makes
 a bounded number of rows; no bucket yields more than HOT times its probes.
+
+`similar_groups` finds texts by similarity of their shingle sets instead of by bits.  Texts at
+a similarity of 0.8 differ in about ten of 64 bits, a ball that no table can hold; so it adds
+a fingerprint of min-wise symbols, whose segments such texts share, and verifies every pair.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,6 +34,14 @@ from tidewell.llm import scratch
 from tidewell.llm.components import components
 
 HOT = 64
+#: Segments and symbols a segment of the min-wise fingerprint: 99.8 % of pairs at a similarity of 0.8 share a segment.
+SEGMENTS, SYMBOLS = 21, 6
+#: Pairs whose estimated similarity is this far from the least one are decided by it, others by their whole texts.
+MARGIN = 0.12
+#: Rounds of comparing the members of a bucket with one of them; those that agree leave the bucket.
+ROUNDS = 3
+#: At most so many identifiers are broadcast; beyond that a shuffled join is used.
+BROADCAST_IDS = 500_000
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -49,7 +62,11 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """Signed 64-bit SimHash; zero if there are no words."""
-    hashes = shingle_hashes(text or "", size)
+    return majority(shingle_hashes(text or "", size))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64 bits, each set if it is in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype("<u8")
@@ -128,3 +145,113 @@ def near_groups(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = linked.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+@functools.cache
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers and addends of the min-wise hash functions."""
+    rng = np.random.default_rng(42)
+    draw = rng.integers(0, 1 << 64, size=(2, SEGMENTS * SYMBOLS, 1), dtype=np.uint64)
+    return draw[0] | np.uint64(1), draw[1]
+
+
+def symbols(hashes: np.ndarray) -> np.ndarray:
+    """Min-wise symbols of a set of shingle hashes; all -1 if there are none."""
+    times, plus = _mixers()
+    least = np.full(SEGMENTS * SYMBOLS, np.uint32(0xFFFFFFFF))
+    for at in range(0, len(hashes), 1024):
+        mixed = (hashes[None, at : at + 1024] * times + plus) >> np.uint64(32)
+        least = np.minimum(least, mixed.min(axis=1).astype(np.uint32))
+    return least.view(np.int32)
+
+
+def _sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, mark (a hash of the text), row, fp and sig of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sigs = [], []
+            for text in batch.column(3):
+                hashes = shingle_hashes(text.as_py(), size)
+                fps.append(majority(hashes))
+                sigs.append(symbols(hashes))
+            made = [pa.array(fps, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "mark", "row", "fp", "sig"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, row long, fp long, sig array<int>")
+
+
+def jaccard(a: str, b: str, size: int) -> float:
+    """Similarity of the shingle sets of two texts; 1 if both are empty."""
+    x, y = (np.unique(shingle_hashes(t, size)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) of nodes whose shingle sets have at least the similarity."""
+    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    judged = pairs.join(left, "a").join(right, "b").select("a", "b", (same / (SEGMENTS * SYMBOLS)).alias("about"))
+    judged = scratch.written(judged.where(F.col("about") >= similarity - MARGIN), "near-judged")
+    sure = judged.where(F.col("about") >= similarity + MARGIN).select("a", "b")
+    rest = judged.where(F.col("about") < similarity + MARGIN).select("a", "b")
+    ids = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(ids, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    wanted = scratch.written(wanted, "near-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.join(few, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")))
+    texts = scratch.written(rows.select("node", text.alias("text")).dropDuplicates(["node"]), "near-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [jaccard(x.as_py(), y.as_py(), size) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    both = rest.join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
+    return scratch.written(sure.unionByName(both.mapInArrow(run, "a long, b long")), "near-links")
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Return doc_id, component_id (smallest doc_id that links reach) for each row.
+
+    Texts link whose sets of `size`-word shingles have at least the Jaccard similarity.
+    Candidates are fingerprints within two bits and texts that share a segment of min-wise
+    symbols: each bucket's members are compared with its least member, and those that
+    disagree again among themselves, `ROUNDS` times.  Texts without words are alike; one
+    with fewer words than `size` has one shingle.  A null doc_id is never smallest unless
+    alone (then null).  No rows: an empty result.
+    """
+    sketches = scratch.written(_sketches(docs, size), "near-sketches")
+    nodes = sketches.groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "mark", "fp"), "row").alias("of"))
+    nodes = scratch.written(nodes.select("node", "sig", "least", "of.*"), "near-nodes")
+    fps = scratch.written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-fps")
+    near = links(fps.select("fp")).join(fps.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(fps.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
+    near = near.select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    alike = nodes.join(fps.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * SYMBOLS + 1, F.lit(SYMBOLS))))
+    table = scratch.written(nodes.select("node", F.explode(keys).alias("key")), "near-table")
+    found = None
+    for k in range(ROUNDS):
+        heads = table.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        met = scratch.written(table.join(heads, "key").where("node != head"), "near-met")
+        pairs = met.select(F.col("node").alias("a"), F.col("head").alias("b"))
+        if k == 0:
+            pairs = pairs.unionByName(near).unionByName(alike)
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+        good = _verified(pairs, nodes, docs, size, similarity)
+        found = good if found is None else found.unionByName(good)
+        table = scratch.written(met.join(good.select(F.col("a").alias("node"), F.col("b").alias("head")), ["node", "head"], "left_anti").select("node", "key"), "near-table")
+        if table.isEmpty():
+            break
+    roots = scratch.written(components(found), "near-roots")
+    linked = nodes.select("sig", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = linked.join(ids, "root").select("sig", "component_id")
+    return sketches.join(classes, "sig").select("doc_id", "component_id")
