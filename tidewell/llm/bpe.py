@@ -11,6 +11,7 @@ Scale: one map-side pass without an exchange; memory is bounded by the caches' l
 from __future__ import annotations
 
 import base64
+import struct
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -32,11 +33,15 @@ class Vocabulary:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.tokens[i] = b
-        self.longest = max(map(len, ranks))
         self.pairs = [self._pair(i) for i in range(len(self.tokens))]
         #: Tokens that merges can lead to, with their length.
         self.reached = {b: i for b, i in ranks.items() if self.pairs[i]}
-        self._valid: dict[int, bool] = {}
+        #: The longest of them by their last three bytes.
+        self.tails: dict[bytes, int] = {}
+        for b in sorted(self.reached, key=len):
+            self.tails[b[-3:]] = len(b)
+        #: Pairs judged by `valid`, as one number.
+        self.known: dict[int, bool] = {}
 
     def _pair(self, token: int) -> tuple[int, int] | None:
         """The last merge inside a token; a byte's is itself twice; None if no merges lead to it."""
@@ -54,16 +59,13 @@ class Vocabulary:
 
     def valid(self, left: int, right: int) -> bool:
         """Whether merging would leave these two tokens side by side."""
-        key = left << 32 | right
-        known = self._valid.get(key)
-        if known is None:
-            if len(self._valid) > 1_000_000:
-                self._valid.clear()
-            known = self._valid[key] = self._undo(left, right)
-        return known
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        fits = self.known[left << 32 | right] = self._undo(left, right)
+        return fits
 
     def _undo(self, left: int, right: int) -> bool:
-        # Undo merges, latest first; a merge across the border ranked before the undone one would have come first.
+        # A pair that is a token itself would have merged.  Undo merges, latest first; a merge across the border ranked before the undone one would have come first.
         get, tokens, pairs, limit = self.ranks.get, self.tokens, self.pairs, len(self.tokens)
         while True:
             if get(tokens[left] + tokens[right], limit) < limit:
@@ -86,9 +88,10 @@ class Prefixes:
 
     def append(self, more: bytes) -> "Prefixes":
         vocabulary, data = self.vocabulary, self.data + more
-        ranks, get, valid, longest, last, tokens = vocabulary.ranks, vocabulary.reached.get, vocabulary.valid, vocabulary.longest, self.last, vocabulary.tokens
+        get, tail, known, valid, last = vocabulary.reached.get, vocabulary.tails.get, vocabulary.known.get, vocabulary.valid, self.last
         for end in range(len(self.data) + 1, len(data) + 1):
-            for at in range(end - longest if end > longest else 0, end):
+            most = tail(data[end - 3 : end], 2) if end > 2 else end
+            for at in range(end - most if end > most else 0, end):
                 token = get(data[at:end])
                 if token is None:
                     continue
@@ -96,8 +99,8 @@ class Prefixes:
                     last.append(token)
                     break
                 before = last[at]
-                # A pair that is a token itself would have merged.
-                if data[at - len(tokens[before]) : end] not in ranks and valid(before, token):
+                fits = known(before << 32 | token)
+                if valid(before, token) if fits is None else fits:
                     last.append(token)
                     break
             else:
@@ -113,19 +116,24 @@ class Prefixes:
 
     def become(self, data: bytes) -> "Prefixes":
         """Turn to other bytes, keeping what belongs to the common prefix."""
-        same = 0
-        for a, b in zip(self.data, data, strict=False):
-            if a != b:
-                break
+        old = self.data
+        same, most = 0, min(len(old), len(data))
+        while same < most and old[same] == data[same]:
             same += 1
-        return self.edit(same, len(self.data) - same, data[same:])
+        if same < len(old):
+            self.data = data[:same]
+            del self.last[same + 1 :]
+        return self.append(data[same:])
 
     def tokens(self) -> list[int]:
         out, end = [], len(self.data)
+        last, names = self.last, self.vocabulary.tokens
         while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[out[-1]])
-        return out[::-1]
+            token = last[end]
+            out.append(token)
+            end -= len(names[token])
+        out.reverse()
+        return out
 
 
 class Coder:
@@ -141,10 +149,10 @@ class Coder:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode pre-tokens in order, each from the prefix that it shares with the one before."""
-        table = Prefixes(self.vocabulary)
+        table, whole, known, one = Prefixes(self.vocabulary), self.vocabulary.ranks.get, self.words, struct.Struct("=I").pack
         for raw, word in sorted((w.encode(), w) for w in words):
-            whole = self.vocabulary.ranks.get(raw)
-            self.words[word] = array("I", [whole] if whole is not None else table.become(raw).tokens()).tobytes()
+            token = whole(raw)
+            known[word] = array("I", table.become(raw).tokens()).tobytes() if token is None else one(token)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
