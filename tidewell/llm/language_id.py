@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tidewell.llm import scratch
+
 #: The fitting sample: expected texts of a language, most characters of a text in it, most languages.
 PER_LANGUAGE, LONGEST, LANGUAGES = 400, 20_000, 256
 BITS, ORDERS = 15, (1, 2, 3)
@@ -150,4 +152,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     base = docs.select(*[F.col(f"`{c}`") for c in names])
     schema = StructType([*base.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(scratch.tidied(run), schema)

@@ -74,7 +74,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     schema = pa.schema(fields + [("ids", pa.binary())] * ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).text
+        parts = encoder(vocabulary)
+        encode = parts.text
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -85,9 +86,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
                     for column, value in zip(out, (doc_id, at, len(own) // 4, zlib.crc32(own), n, own), strict=False):
                         column.append(value)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        parts.clear()
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scratch.tidied(run), ddl)
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

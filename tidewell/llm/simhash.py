@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             fps = [fingerprint(t.as_py(), size) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(fps, pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scratch.tidied(run), "doc_id long, fp long")
 
 
 def _segments(distance: int) -> list[tuple[int, int]]:
@@ -180,7 +180,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, row long, fp long, sig array<int>")
+    return rows.mapInArrow(scratch.tidied(run), "doc_id long, mark long, row long, fp long, sig array<int>")
 
 
 def jaccard(a: str, b: str, size: int) -> float:
@@ -215,7 +215,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     both = rest.join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
-    return scratch.written(sure.unionByName(both.mapInArrow(run, "a long, b long")), "near-links")
+    return scratch.written(sure.unionByName(both.mapInArrow(scratch.tidied(run), "a long, b long")), "near-links")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
