@@ -186,6 +186,20 @@ def test_similar_groups(spark, monkeypatch, limit):
     assert sorted((tuple(r) for r in found), key=str) == wanted
 
 
+def test_similar_star(spark):
+    """Copies like an original in the middle of the rows, but not like each other."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(300):
+        own = rng.sample(range(400), 7)
+        texts.append(" ".join(f"c{k}x{j}" if j in own else w for j, w in enumerate(words)))
+    texts.insert(150, " ".join(words))
+    assert min(simhash.jaccard(t, texts[150], 5) for t in texts) >= 0.8
+    found = simhash.similar_groups(frame(spark, list(enumerate(texts)))).collect()
+    assert sorted(tuple(r) for r in found) == [(k, 0) for k in range(301)]
+
+
 def test_simhash(spark):
     texts = corpus()
     rows = {r.doc_id: r for r in simhash.near_groups(frame(spark, texts)).collect()}
