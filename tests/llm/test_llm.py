@@ -200,6 +200,32 @@ def test_similar_star(spark):
     assert sorted(tuple(r) for r in found) == [(k, 0) for k in range(301)]
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_similar_shared_bucket(spark, monkeypatch, block):
+    """Near copies that meet only in a bucket of many unlike texts."""
+    real = simhash.symbols
+
+    def one_bucket(hashes):
+        out = real(hashes).copy()
+        out[5::6] = np.random.default_rng(hashes).integers(0, 1 << 31, len(out) // 6)
+        out[:6] = 7
+        return out
+
+    monkeypatch.setattr(simhash, "symbols", one_bucket)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = random.Random(8)
+    texts = []
+    for k in range(30):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        if k >= 10:
+            texts.append(" ".join(f"v{k}" if j in (50, 100, 150) else w for j, w in enumerate(words)))
+    wanted = [(k, k if k < 10 else k - k % 2) for k in range(50)]
+    assert all(simhash.jaccard(texts[k], texts[k + 1], 5) >= 0.8 for k in range(10, 50, 2))
+    found = simhash.similar_groups(frame(spark, list(enumerate(texts)))).collect()
+    assert sorted(tuple(r) for r in found) == wanted
+
+
 def test_simhash(spark):
     texts = corpus()
     rows = {r.doc_id: r for r in simhash.near_groups(frame(spark, texts)).collect()}
