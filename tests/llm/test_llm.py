@@ -226,6 +226,19 @@ def test_similar_shared_bucket(spark, monkeypatch, block):
     assert sorted(tuple(r) for r in found) == wanted
 
 
+def test_similar_equal_symbols(spark, monkeypatch):
+    """Texts whose symbols are all equal link by their whole shingle sets only."""
+    real = simhash.symbols
+    monkeypatch.setattr(simhash, "symbols", lambda hashes: np.zeros_like(real(hashes)))
+    rng = random.Random(9)
+    texts = []
+    for k in range(10):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(100)]
+        texts += [" ".join(words), " ".join([*words[:-1], f"v{k}"])]
+    found = simhash.similar_groups(frame(spark, list(enumerate(texts)))).collect()
+    assert sorted(tuple(r) for r in found) == [(k, k - k % 2) for k in range(20)]
+
+
 def test_simhash(spark):
     texts = corpus()
     rows = {r.doc_id: r for r in simhash.near_groups(frame(spark, texts)).collect()}

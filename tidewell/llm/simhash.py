@@ -36,8 +36,8 @@ from tidewell.llm.components import components
 HOT = 64
 #: Segments and symbols a segment of the min-wise fingerprint: 99.8 % of pairs at a similarity of 0.8 share a segment.
 SEGMENTS, SYMBOLS = 21, 6
-#: Pairs whose estimated similarity is this far from the least one are decided by it, others by their whole texts.
-MARGIN = 0.12
+#: Pairs whose estimated similarity is this far below the least one (5.6 standard errors) are dropped, others compared by their whole texts.
+MARGIN = 0.2
 #: Members of a bucket compared at once; a larger bucket is compared as pairs of blocks of about so many.
 BLOCK = 2048
 #: Candidates a member and block first tried, the most alike first, and the factor by which they grow until none is left.
@@ -168,21 +168,23 @@ def symbols(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, mark (a hash of the text), row, fp and sig of each row."""
+    """doc_id, mark (a hash of the text), row, fp, sig and set (a 128-bit hash of the shingle set) of each row."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sigs = [], []
+            fps, sigs, sets = [], [], []
             for text in batch.column(3):
                 hashes = shingle_hashes(text.as_py(), size)
                 fps.append(majority(hashes))
                 sigs.append(symbols(hashes))
-            made = [pa.array(fps, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "mark", "row", "fp", "sig"])
+                sets.append(xxhash.xxh128_digest(np.unique(hashes).astype("<u8").tobytes()))
+            made = [pa.array(fps, pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "mark", "row", "fp", "sig", "set"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    return rows.mapInArrow(scratch.tidied(run), "doc_id long, mark long, row long, fp long, sig array<int>")
+    return rows.mapInArrow(scratch.tidied(run), "doc_id long, mark long, row long, fp long, sig array<int>, set binary")
 
 
 def jaccard(a: str, b: str, size: int) -> float:
@@ -198,10 +200,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     judged = pairs.join(left, "a").join(right, "b").select("a", "b", (same / (SEGMENTS * SYMBOLS)).alias("about"))
-    judged = scratch.written(judged.where(F.col("about") >= similarity - MARGIN), "near-judged")
-    sure = judged.where(F.col("about") >= similarity + MARGIN).select("a", "b")
-    rest = judged.where(F.col("about") < similarity + MARGIN).select("a", "b")
-    ids = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    judged = scratch.written(judged.where(F.col("about") >= similarity - MARGIN).select("a", "b"), "near-judged")
+    ids = judged.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(ids, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
     wanted = scratch.written(wanted, "near-wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
@@ -216,8 +216,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
 
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = rest.join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
-    return scratch.written(sure.unionByName(both.mapInArrow(scratch.tidied(run), "a long, b long")), "near-links")
+    both = judged.join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
+    return scratch.written(both.mapInArrow(scratch.tidied(run), "a long, b long"), "near-links")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -319,8 +319,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     smallest unless alone (then null).  No rows: an empty result.
     """
     sketches = scratch.written(_sketches(docs, size), "near-sketches")
-    nodes = sketches.groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "mark", "fp"), "row").alias("of"))
-    nodes = scratch.written(nodes.select("node", "sig", "least", "of.*"), "near-nodes")
+    nodes = sketches.groupBy("set").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "mark", "fp", "sig"), "row").alias("of"))
+    nodes = scratch.written(nodes.select("node", "set", "least", "of.*"), "near-nodes")
     fps = scratch.written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-fps")
     near = links(fps.select("fp")).join(fps.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(fps.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
     near = near.select(F.col("na").alias("a"), F.col("nb").alias("b"))
@@ -348,7 +348,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
         elif table.isEmpty():
             break
         most *= GROWTH
-    linked = nodes.select("sig", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = nodes.select("set", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = linked.join(ids, "root").select("sig", "component_id")
-    return sketches.join(classes, "sig").select("doc_id", "component_id")
+    classes = linked.join(ids, "root").select("set", "component_id")
+    return sketches.select("doc_id", "set").join(classes, "set").select("doc_id", "component_id")
