@@ -186,6 +186,15 @@ def test_similar_groups(spark, monkeypatch, limit):
     assert sorted((tuple(r) for r in found), key=str) == wanted
 
 
+def test_language_of_long_texts(spark):
+    """A language whose labelled texts are all long is learned as well."""
+    rows = [(k, f"un deux trois quatre {k} cinq six", "fr") for k in range(40)]
+    rows += [(100 + k, "eins zwei drei vier " * 1100, "de") for k in range(8)]
+    model = language_id.fit_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "fr"]
+    assert [model.predict(t)[0] for t in ("eins zwei drei vier", "un deux trois quatre cinq")] == ["de", "fr"]
+
+
 def test_similar_star(spark):
     """Copies like an original in the middle of the rows, but not like each other."""
     rng = random.Random(6)

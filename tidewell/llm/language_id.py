@@ -119,15 +119,21 @@ def held_out(docs: DataFrame):
 
 
 def fit_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on labelled documents outside the held-out quarter; a null lang, doc_id or text is no label."""
+    """Fit on labelled documents outside the held-out quarter; a null lang, doc_id or text is no label.
+
+    A language without a text of at most `LONGEST` characters is learned from the starts of longer ones.
+    """
     rows = docs.where("lang is not null and doc_id is not null and text is not null").where(~held_out(docs))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    share = {r["lang"]: per_language / r["n"] for r in counts.collect()}
+    fits = F.char_length("text") <= LONGEST
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(fits, 1)).alias("fit")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    share = {r["lang"]: per_language / (r["fit"] or r["n"]) for r in counts}
+    long = [r["lang"] for r in counts if not r["fit"]]
     if not share:
         return fit([], [])
     part = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
-    sample = rows.where(F.col("lang").isin(list(share)) & (draw < part) & (F.char_length("text") <= LONGEST))
+    sample = rows.where(F.col("lang").isin(list(share)) & (draw < part) & (fits | F.col("lang").isin(long)))
+    sample = sample.withColumn("text", F.substring("text", 1, LONGEST))
     found = sorted((r["doc_id"], r["text"], r["lang"]) for r in sample.select("doc_id", "text", "lang").collect())
     found.sort(key=lambda r: (hash((r[0], 7)), r))
     return fit([r[1] for r in found], [r[2] for r in found])
