@@ -15,6 +15,8 @@ Pieces carry no ids through exchanges (about 48 bytes each).  Ranks come from co
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,39 +29,59 @@ from pyspark.sql import functions as F
 from tidewell.llm import scratch
 from tidewell.llm.chunks import PartCache
 
-CELLS = 1024
-_encoders: dict[tuple, PartCache] = {}
+#: Pieces of one size that a cell of ranks has, about.
+CELL = 1 << 14
+#: At most so many bytes of cells' counts are broadcast; beyond that a shuffled join is used.
+BROADCAST_BYTES = 8 << 20
+_encoders: dict[str, PartCache] = {}
 
 
-def encoder(path: str) -> PartCache:
-    """Encoder by the vocabulary file `path` of library tokenizers, one for each worker.
+class _Encoder(PartCache):
+    """Encoder by a vocabulary file of library tokenizers.
 
-    Latin text, which is most, is merged by tiktoken from the same file's vocabulary, the
-    rest by tokenizers itself; strings of special tokens are ordinary text.
+    Latin text, which is most, is merged by tiktoken from the same file's vocabulary, the rest by
+    tokenizers itself, which is loaded when a text first needs it.  Strings of special tokens in
+    a text become those tokens, as the library has it; such a text is coded by it as a whole.
     """
-    if path not in _encoders:
+
+    def __init__(self, path: str):
         import json
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        special = {t.content for t in whole.get_added_tokens_decoder().values()}
+        super().__init__(self._part, limit=100_000)
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            described = json.load(f)
+        special = [t["content"] for t in described["added_tokens"]]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(byte[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in special}
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+
+    @functools.cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
 
-        def encode(text: str) -> bytes:
-            ids = fast.encode_ordinary(text) if text.isascii() or max(text) < "ɐ" else whole.encode(text, add_special_tokens=False).ids
-            return array("I", ids).tobytes()
+        return Tokenizer.from_file(self.path)
 
-        _encoders[path] = PartCache(encode)
+    def _slow(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, text: str) -> bytes:
+        return array("I", self.fast.encode_ordinary(text)).tobytes() if text.isascii() or max(text) < "ɐ" else self._slow(text)
+
+    def text(self, text: str) -> bytes:
+        return self._slow(text) if self.special.search(text) else super().text(text)
+
+
+def encoder(path: str) -> PartCache:
+    """One encoder for each worker."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
     return _encoders[path]
 
 
@@ -185,9 +207,13 @@ def layout(cut: DataFrame, capacity: int = 1024, grain: int = 8) -> DataFrame:
     names = cut.columns
     units = (capacity + grain - 1) // grain
     size = F.ceil(F.col("length") / F.lit(grain)).cast("int")
-    cut = scratch.written(cut.withColumns({"__size": size, "__cell": F.pmod(F.xxhash64("doc_id", "start"), F.lit(CELLS)).cast("int")}), "pack-pieces")
+    cut = scratch.written(cut.withColumn("__size", size), "pack-pieces")
+    demand = {r[0]: r[1] for r in cut.groupBy("__size").count().collect()}  # at most capacity / grain rows
+    if not demand:
+        return cut.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    parts = F.create_map(*[F.lit(x) for s, n in demand.items() for x in (s, -(-n // CELL))])
+    cut = cut.withColumn("__cell", F.pmod(F.xxhash64("doc_id", "start"), F.element_at(parts, F.col("__size"))))
     counts = scratch.written(cut.groupBy("__size", "__cell").agg(F.count(F.lit(1)).alias("__n")), "pack-counts")
-    demand = {r[0]: r[1] for r in counts.groupBy("__size").agg(F.sum("__n")).collect()}  # at most capacity / grain rows
     rows, base = [], 0
     given = dict.fromkeys(demand, 0)
     # A grain that does not divide the capacity would let rounded full pieces overflow; they go alone.
@@ -200,8 +226,8 @@ def layout(cut: DataFrame, capacity: int = 1024, grain: int = 8) -> DataFrame:
     starts = counts.select("__size", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     own = Window.partitionBy("__size", "__cell").orderBy("doc_id", "start")
     ranked = cut.withColumn("__row", F.row_number().over(own) - 1)
-    # At most capacity / grain * CELLS rows.
-    ranked = ranked.join(F.broadcast(starts), ["__size", "__cell"]).withColumn("__rank", F.col("__start") + F.col("__row"))
+    # A row for each CELL pieces and each size.
+    ranked = ranked.join(F.broadcast(starts) if scratch.size(counts) <= BROADCAST_BYTES else starts, ["__size", "__cell"]).withColumn("__rank", F.col("__start") + F.col("__row"))
     table = F.broadcast(spark.createDataFrame(rows, "__size int, __from long, __to long, __base long, __each long"))
     fits = (ranked["__size"] == table["__size"]) & (ranked["__rank"] >= table["__from"]) & (ranked["__rank"] < table["__to"])
     index = F.col("__rank") - F.col("__from")
