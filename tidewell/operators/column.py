@@ -1,8 +1,7 @@
 """Column analytics on (row_id, value): dictionary, runs, segments, folds, lookups.
 
-Runs use gaps-and-islands windows.  Plain runs partition by value; `spread` further splits a
-value into fixed ranges of row ids and joins runs that touch at the borders, so that one value
-with most rows is not one task's.
+Runs use gaps-and-islands windows inside fixed ranges of row ids, and a second pass joins those
+that touch a range's border, so that one value with most rows is not one task's.
 """
 
 from __future__ import annotations
@@ -12,20 +11,25 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewell.sources.tiers import assign_pk
 
 BLOCK = 1 << 20
 
 
 def islands(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Maximal runs of consecutive row ids with one value: value, start, end."""
-    part = rows.where("value is not null").select("row_id", "value", F.floor(F.col("row_id") / block).alias("__b")).distinct()
+    part = rows.where("value is not null").select("row_id", "value", F.floor(F.col("row_id") / block).alias("__b"))
     order = Window.partitionBy("value", "__b").orderBy("row_id")
-    local = part.withColumn("__i", F.col("row_id") - F.row_number().over(order))
+    local = part.withColumn("__i", F.col("row_id") - F.dense_rank().over(order))
     local = local.groupBy("value", "__b", "__i").agg(F.min("row_id").alias("start"), F.max("row_id").alias("end"))
-    # At most a run at each border of a block goes on; the rest is final.
+    # At most a run at each border of a block goes on; these meet in a second pass, the rest is final.
+    border = (F.pmod("start", F.lit(block)) == 0) | (F.pmod("end", F.lit(block)) == block - 1)
     over = Window.partitionBy("value").orderBy("start")
     new = F.coalesce((F.col("start") != F.lag("end").over(over) + 1).cast("int"), F.lit(1))
-    return local.withColumn("__g", F.sum(new).over(over)).groupBy("value", "__g").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("value", "start", "end")
+    met = local.where(border).withColumn("__g", F.sum(new).over(over)).groupBy("value", "__g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return local.where(~border).select("value", "start", "end").unionByName(met.select("value", "start", "end"))
 
 
 def segments(rows: DataFrame) -> DataFrame:
@@ -55,10 +59,9 @@ def predicate_segments_udf(rows: DataFrame, predicate: Callable[[pd.Series], pd.
 
 
 def dictionary_encode(rows: DataFrame) -> DataFrame:
-    """Distinct values with their index in order of first row: value, value_index."""
+    """Distinct values with their index in order of first row (ties by value): value, value_index."""
     first = rows.where("value is not null").groupBy("value").agg(F.min("row_id").alias("first_row"))
-    # Row ids of first rows are distinct for single-valued columns; ties go by value.
-    return first.withColumn("value_index", F.row_number().over(Window.orderBy("first_row", "value")) - 1).select("value", F.col("value_index").cast("long"))
+    return assign_pk(first, "value_index", -1, ["first_row", "value"]).select("value", F.col("value_index").cast("long"))
 
 
 def value_frequency(rows: DataFrame) -> DataFrame:
@@ -83,7 +86,15 @@ def fold(rows: DataFrame, step: Callable, start=0.0) -> DataFrame:
 
 
 def fold_sum(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.coalesce(F.sum(F.col("value").cast("decimal(18,2)")), F.lit(0)).cast("double").alias("fold_sum"))
+    """The sum, exact for integers and decimals (up to 38 digits), else as doubles add up; 0 of none."""
+    kind = rows.schema["value"].dataType
+    value = F.col("value").cast("decimal(28,0)") if isinstance(kind, T.IntegralType) else F.col("value")
+    return rows.agg(F.coalesce(F.sum(value).cast("double"), F.lit(0.0)).alias("fold_sum"))
+
+
+def fold_product(rows: DataFrame) -> DataFrame:
+    """The product, 1 of none, over the frequency table: a value's powers are taken at once."""
+    return value_frequency(rows).agg(F.coalesce(F.product(F.pow("value", "n")), F.lit(1.0)).alias("fold_product"))
 
 
 def fold_min_max(rows: DataFrame) -> DataFrame:

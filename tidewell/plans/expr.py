@@ -8,6 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names of comparisons and their SQL operators, both ways.
+OPERATORS = {"eq": "=", "ne": "<>", "lt": "<", "gt": ">", "lte": "<=", "gte": ">="}
+NAMES = {sql: name for name, sql in OPERATORS.items()}
+
 #: Turns a field into a column of the plan it is used in.
 Resolve = Callable[["Operand"], Column]
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tidewell.functions import bits, codecs
 from tidewell.operators import column, index, kv
 from tidewell.plans.query import Alias, Select
-from tidewell.plans.tables import Customer, Lineitem, Nation, NationPeer, Orders, Part, Supplier
-from tidewell.sources import tiers
+from tidewell.plans.tables import Customer, Lineitem, Nation, NationPeer, Orders, Part, Region, Supplier
+from tidewell.sources import folders, tiers, values
+from tidewell.sources.textfiles import generate_entries, read_oplog
+from tidewell.sources.values import OffsetArray
+from tidewell.sources.warehouse import Database, Warehouse
 from tidewell.streaming import oplog, traces
 
 _queries: dict = {}
@@ -111,17 +114,43 @@ def raw_sql(spark, sf_dir):
     return spark.sql("SELECT c_mktsegment, count(*) AS n FROM tidewell_customer GROUP BY c_mktsegment")
 
 
-# Tiers: even keys are cold, odd keys hot.
+# Stores, made once for a table folder: orders with even keys cold, those with odd keys hot.
 
+_made: dict[tuple, object] = {}
 
-def _tiers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    orders = load(spark, sf_dir, "orders")
-    return orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1")
+
+def _once(spark, sf_dir, kind: str, make):
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def _new_store(spark, sf_dir) -> tiers.TieredStore:
+    return tiers.TieredStore(spark, folders.new_folder(spark, "store"))
+
+
+def _store(spark, sf_dir) -> tiers.TieredStore:
+    def make():
+        store, orders = _new_store(spark, sf_dir), load(spark, sf_dir, "orders")
+        store.insert(Orders, orders.where("o_orderkey % 2 = 0"))
+        store.move(Orders)
+        store.insert(Orders, orders.where("o_orderkey % 2 = 1"))
+        return store
+
+    return _once(spark, sf_dir, "store", make)
+
+
+def _full_store(spark, sf_dir) -> tiers.TieredStore:
+    """A store of its own with all orders hot."""
+    store = _new_store(spark, sf_dir)
+    store.insert(Orders, load(spark, sf_dir, "orders"))
+    return store
 
 
 def _tiered(spark, sf_dir) -> Select:
-    both = tiers.union_tiers(*_tiers(spark, sf_dir))
-    return Select(Orders, lambda t: both if t is Orders else load(spark, sf_dir, t.name))
+    store = _store(spark, sf_dir)
+    return Select(Orders, lambda t: store.read(t) if t is Orders else load(spark, sf_dir, t.name))
 
 
 @query("SELECT * FROM orders")
@@ -139,30 +168,88 @@ def tiered_join(spark, sf_dir):
     return _tiered(spark, sf_dir).select(Customer.c_name).join(Customer.c_custkey).where(Customer.c_acctbal < 0.0).df()
 
 
-@query("SELECT CASE WHEN o_orderkey <= e THEN 'cold' ELSE 'hot' END AS tier, count(*) AS n FROM orders, (SELECT max(o_orderkey) AS e FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100)) GROUP BY ALL")
+def _by_tier(store: tiers.TieredStore) -> DataFrame:
+    both = store.tier(Orders, "cold").withColumn("tier", F.lit("cold")).unionByName(store.tier(Orders, "hot").withColumn("tier", F.lit("hot")))
+    return both.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT CASE WHEN o_orderkey <= e THEN 'cold' ELSE 'hot' END AS tier, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders, (SELECT max(o_orderkey) AS e FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100)) GROUP BY 1")
 def tier_move(spark, sf_dir):
-    moved, rest = tiers.split_smallest(load(spark, sf_dir, "orders"), "o_orderkey", 100)
-    both = moved.withColumn("tier", F.lit("cold")).unionByName(rest.withColumn("tier", F.lit("hot")))
-    return both.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    store = _full_store(spark, sf_dir)
+    store.move(Orders, 100)
+    return _by_tier(store)
+
+
+@query("SELECT CASE WHEN o_orderkey % 4 < 2 THEN 'cold' ELSE 'hot' END AS tier, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def trickle_ingest(spark, sf_dir):
+    """A stream of four micro-batches, of which the first two have left for the cold tier when it ends."""
+    from tidewell.streaming.trickle import trickle
+
+    store, source = _new_store(spark, sf_dir), folders.new_folder(spark, "source")
+    for k in range(2):
+        load(spark, sf_dir, "orders").where(F.floor(F.col("o_orderkey") % 4 / 2) == k).repartition(2).write.parquet(f"{source}/{k}")
+        stream = spark.readStream.schema(Orders.schema()).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+        trickle(store, Orders, stream, f"{store.path}/checkpoint", flush_every=2 if k == 0 else 1000).awaitTermination()
+    return _by_tier(store)
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT * FROM (VALUES (-1, 'N'), (-2, 'N')) t(o_orderkey, o_orderstatus)")
 def insert_rows(spark, sf_dir):
-    new = spark.sql("SELECT * FROM VALUES (-1L, 'N'), (-2L, 'N') AS t(o_orderkey, o_orderstatus)")
-    return tiers.union_tiers(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), new)
+    store = _full_store(spark, sf_dir)
+    store.save(Orders, [Orders.new(o_orderkey=-k, o_orderstatus="N") for k in (1, 2)])
+    return store.read(Orders).select("o_orderkey", "o_orderstatus")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -1, 'X'")
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -1, 7, 'X'")
 def upsert_rows(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    changed = orders.where("o_orderkey % 10 = 0").select("o_orderkey").unionByName(spark.sql("SELECT -1L AS o_orderkey"))
-    return tiers.upsert(orders, changed.withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
+    """Rows of both tiers are replaced, some twice; the later value holds."""
+    store, orders = _new_store(spark, sf_dir), load(spark, sf_dir, "orders")
+    store.insert(Orders, orders)
+    store.move(Orders, 1000)
+    some = orders.where("o_orderkey % 10 = 0")
+    twice = some.withColumns({"o_orderstatus": F.lit("W"), "n": F.lit(1)}).unionByName(some.withColumns({"o_orderstatus": F.lit("X"), "n": F.lit(2)}))
+    store.put(Orders, twice, "n")
+    store.save(Orders, [Orders.new(o_orderkey=-1, o_custkey=7, o_orderstatus="X")])
+    return store.read(Orders).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders")
+def update_fields(spark, sf_dir):
+    """Only fields named as set change, here one to null; keys that aren't there make no row."""
+    store, orders = _full_store(spark, sf_dir), load(spark, sf_dir, "orders")
+    store.move(Orders, 1000)
+    some = orders.where("o_orderkey % 10 = 0").select("o_orderkey").unionByName(spark.sql("SELECT -5L AS o_orderkey"))
+    store.update(Orders, some.select("o_orderkey", F.lit(None).cast("string").alias("o_orderstatus"), F.lit(-1.0).alias("o_totalprice"), F.array(F.lit("o_orderstatus"), F.lit("o_totalprice")).alias("__set")))
+    return store.read(Orders).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0")
 def delete_keys(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders").select("o_orderkey")
-    return tiers.delete_keys(orders, orders.where("o_orderkey % 7 = 0"), "o_orderkey")
+    store, orders = _full_store(spark, sf_dir), load(spark, sf_dir, "orders")
+    store.move(Orders, 1000)
+    store.delete(Orders, orders.where("o_orderkey % 7 = 0"))
+    store.compact(Orders)
+    return store.read(Orders).select("o_orderkey")
+
+
+@query("SELECT * FROM (VALUES ('nation'), ('orders'), ('region')) t(table_name)")
+def catalog_tables(spark, sf_dir):
+    store = _new_store(spark, sf_dir)
+    store.bootstrap(Nation, Region, Orders)
+    return store.tables()
+
+
+@query("SELECT * FROM (VALUES ('a', 'running', false, 2), ('b', 'locked', true, 0), ('c', 'stopped', false, 0)) t(name, state, locked, tables)")
+def database_status(spark, sf_dir):
+    house = Warehouse(spark, folders.new_folder(spark, "warehouse")).create()
+    house.start()
+    for name in "abc":
+        Database(house, name).create()
+    for name in "ac":
+        Database(house, name).release()
+    Database(house, "a").start()
+    Database(house, "a").connect().bootstrap(Nation, Region)
+    return house.status("common")
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) + (SELECT max(o_orderkey) FROM orders) AS new_id FROM customer")
@@ -173,7 +260,7 @@ def assign_pk(spark, sf_dir):
 
 @query("SELECT count(*) AS n FROM orders")
 def count_rows(spark, sf_dir):
-    return tiers.union_tiers(*_tiers(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+    return _store(spark, sf_dir).read(Orders).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Columns
@@ -260,7 +347,17 @@ def count_distinct(spark, sf_dir):
 
 @query("SELECT CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS fold_sum FROM events")
 def agg_fold_sum(spark, sf_dir):
-    return column.fold_sum(_amounts(spark, sf_dir))
+    return column.fold_sum(_amounts(spark, sf_dir).withColumn("value", F.col("value").cast("decimal(18,2)")))
+
+
+@query("SELECT CAST(sum(l_linenumber) AS DOUBLE) AS fold_sum FROM lineitem")
+def agg_fold_sum_int(spark, sf_dir):
+    return column.fold_sum(load(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("value")))
+
+
+@query("SELECT round(product(1 + r_regionkey)) AS fold_product FROM region")
+def agg_fold_product(spark, sf_dir):
+    return column.fold_product(load(spark, sf_dir, "region").select((F.col("r_regionkey") + 1).alias("value"))).select(F.round("fold_product").alias("fold_product"))
 
 
 @query("SELECT least(0.0, min(value)) AS fold_min, greatest(0.0, max(value)) AS fold_max FROM events")
@@ -284,9 +381,53 @@ def ordinal_lookup(spark, sf_dir):
     return _amounts(spark, sf_dir).where(F.col("row_id").isin(0, 5, 99)).select(F.col("row_id").alias("ordinal"), "value")
 
 
-@query("SELECT count(*) AS n, count_if(user_id <> 0) AS n_live FROM events")
+def _offsets(spark, sf_dir) -> OffsetArray:
+    """Ids of events as offsets; every seventh is deleted, then every tenth set anew."""
+    array, events = OffsetArray(spark, folders.new_folder(spark, "offsets")), load(spark, sf_dir, "events")
+    array.append(events.select((F.col("event_id") * 100 + 1).alias("offset")), ["offset"])
+    known = array.rows()
+    array.delete(known.where("ordinal % 7 = 0"))
+    array.update(known.where("ordinal % 10 = 0").select("ordinal", F.lit(5).alias("offset")).unionByName(spark.sql("SELECT -3L AS ordinal, 5 AS offset")))
+    return array
+
+
+_OFFSETS = "(SELECT i AS ordinal, CASE WHEN i % 10 = 0 THEN 5 WHEN i % 7 = 0 THEN 0 ELSE o END AS \"offset\" FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, event_id * 100 + 1 AS o FROM events))"
+
+
+@query(f"SELECT * FROM {_OFFSETS}")
+def offset_array(spark, sf_dir):
+    return _offsets(spark, sf_dir).rows()
+
+
+@query(f'SELECT count(*) AS n, count_if("offset" <> 0) AS n_live FROM {_OFFSETS}')
 def map_count(spark, sf_dir):
-    return load(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("user_id") != 0).alias("n_live"))
+    return _offsets(spark, sf_dir).rows().agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("offset") != 0).alias("n_live"))
+
+
+@query("""SELECT mode, row_number() OVER (PARTITION BY mode ORDER BY doc_id) - 1 AS ordinal, CASE WHEN mode = 3 THEN substr(lang || '.' || source, 1, 4) ELSE lang || '.' || source END AS value FROM documents, (VALUES (1), (2), (3), (4)) m(mode)
+UNION ALL SELECT 5, row_number() OVER (ORDER BY event_id) - 1, CAST(event_id - 5000 AS VARCHAR) FROM events""")
+def value_store(spark, sf_dir):
+    """All five encodings, each store opened again before it is read; the user's mode asks for four bytes."""
+    docs = load(spark, sf_dir, "documents").select(F.encode(F.concat("lang", F.lit("."), "source"), "UTF-8").alias("value"), "doc_id")
+    ints = load(spark, sf_dir, "events").select((F.col("event_id") - 5000).alias("value"))
+    out = None
+    for mode in (values.PACKED, values.COMPRESSED, values.USER, values.USER_COMPRESSED, values.PACKED_INT):
+        path = folders.new_folder(spark, "values")
+        values.ValueStore(spark, path, mode).append(ints if mode == values.PACKED_INT else docs, ["value"] if mode == values.PACKED_INT else ["doc_id"])
+        rows = values.ValueStore(spark, path).get(size=4)
+        value = F.col("value").cast("string") if mode == values.PACKED_INT else F.decode("value", "UTF-8")
+        rows = rows.select(F.lit(mode).alias("mode"), "ordinal", value.alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT event_id AS ordinal, upper(event_type) AS value FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS event_id, event_type FROM events)")
+def value_translator(spark, sf_dir):
+    """Strings put as reversed bytes and got in upper case."""
+    both = (lambda c: F.encode(F.reverse(c), "UTF-8"), lambda c: F.upper(F.reverse(F.decode(c, "UTF-8"))))
+    store = values.ValueStore(spark, folders.new_folder(spark, "values"), values.COMPRESSED, translator=both)
+    store.append(load(spark, sf_dir, "events").select(F.col("event_type").alias("value"), "event_id"), ["event_id"])
+    return store.get()
 
 
 # Ordered index: l_partkey -> l_suppkey
@@ -362,8 +503,6 @@ def compaction(spark, sf_dir):
 
 @query("SELECT CAST(2 * i + 1 AS INTEGER) AS key FROM range(10000) t(i)")
 def gen_entries(spark, sf_dir):
-    from tidewell.sources.textfiles import generate_entries
-
     return generate_entries(spark, 10_000).select("key")
 
 
@@ -387,10 +526,45 @@ def oplog_search_results(spark, sf_dir):
     return oplog.search_results(_log(spark, sf_dir))
 
 
+_TEXT_LOG = "SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, CASE event_type WHEN 'signup' THEN 'i' WHEN 'error' THEN 'd' WHEN 'purchase' THEN 'u' ELSE 's' END AS op, CAST(user_id AS INTEGER) AS key, CAST(CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END AS INTEGER) AS ptr FROM events"
+
+
+@query(_TEXT_LOG)
+def oplog_file(spark, sf_dir):
+    """The log written as lines of text, and read again in their order."""
+    line = F.concat_ws(" ", "op", "key", F.when(F.col("op").isin("i", "u"), F.col("ptr")))
+    path = folders.new_folder(spark, "log")
+    _log(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq").select(line.alias("value")).write.text(path)
+    return read_oplog(spark, path)
+
+
+#: Bandwidths of a drive, in bytes a second.
+DRIVE = {"rndread": 17_000_000, "seqread": 80_000_000, "rndwrite": 420_000, "seqwrite": 72_000_000}
+
+
 @query()
 def cost_model_best_k(spark, sf_dir):
-    profile = {"random_read": 17e6, "sequential_write": 72e6}
-    return index.best_fan_out(spark, 1 << 30, 16 << 20, 0.2, profile)
+    return index.best_fan_out(spark, 1 << 30, 16 << 20, 0.2, DRIVE)
+
+
+@query("""WITH RECURSIVE b AS (SELECT l_linenumber, count(*) AS c FROM lineitem GROUP BY 1),
+step AS (SELECT 0 AS i, CAST(0 AS HUGEINT) AS l0, CAST(0 AS HUGEINT) AS l1, CAST(0 AS HUGEINT) AS l2, 0 AS m0, 0 AS m1, 0 AS a1, 0 AS m2, 0 AS a2
+  UNION ALL SELECT i + 1, CASE WHEN l0 + c > 500 THEN 0 ELSE l0 + c END,
+    CASE WHEN l0 + c > 500 THEN CASE WHEN l1 + l0 + c > 2000 THEN 0 ELSE l1 + l0 + c END ELSE l1 END,
+    CASE WHEN l0 + c > 500 AND l1 + l0 + c > 2000 THEN l2 + l1 + l0 + c ELSE l2 END, 0,
+    CASE WHEN l0 + c > 500 THEN CASE WHEN l1 + l0 + c > 2000 THEN 0 ELSE m1 + 1 END ELSE m1 END, CASE WHEN l0 + c > 500 THEN a1 + 1 ELSE a1 END,
+    CASE WHEN l0 + c > 500 AND l1 + l0 + c > 2000 THEN m2 + 1 ELSE m2 END, CASE WHEN l0 + c > 500 AND l1 + l0 + c > 2000 THEN a2 + 1 ELSE a2 END
+  FROM step JOIN b ON l_linenumber = i + 1),
+fin AS (SELECT * FROM step ORDER BY i DESC LIMIT 1),
+rows AS (SELECT 0 AS level, l0 AS entries, 0 AS merges, 0 AS all_merges FROM fin UNION ALL SELECT 1, l1, m1, a1 FROM fin UNION ALL SELECT 2, l2, m2, a2 FROM fin)
+SELECT level, CAST(entries AS BIGINT) AS entries, CAST(ceil(entries / 252) AS BIGINT) AS pages, merges, all_merges FROM rows""")
+def cascade_levels(spark, sf_dir):
+    """Batches by line number cascade through three levels."""
+    tree = index.Cascade(spark, folders.new_folder(spark, "cascade"), 500, 4, 3)
+    lines = load(spark, sf_dir, "lineitem")
+    for n in sorted(r[0] for r in lines.select("l_linenumber").distinct().collect()):
+        tree.add(lines.where(F.col("l_linenumber") == n).select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("ptr"), F.lit(False).alias("is_filter")))
+    return tree.levels()
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
@@ -399,10 +573,11 @@ def key_membership(spark, sf_dir):
     return index.key_membership(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), keys, "o_custkey")
 
 
-@query("SELECT DISTINCT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#00000001') OR starts_with(c_name, 'Customer#1') OR starts_with(c_name, 'Customer#0000000')")
+@query("SELECT c_name FROM customer, range(2) WHERE starts_with(c_name, 'Customer#00000001') OR starts_with(c_name, 'Customer#1') OR starts_with(c_name, 'Customer#0000000')")
 def prefix_membership(spark, sf_dir):
     prefixes = spark.sql("SELECT * FROM VALUES ('Customer#00000001'), ('Customer#1'), ('Customer#0000000') AS t(prefix)")
-    return index.prefix_membership(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), prefixes, "c_name")
+    names = load(spark, sf_dir, "customer").select("c_name")
+    return index.prefix_membership(names.unionAll(names), prefixes, "c_name")
 
 
 @query("SELECT p_name AS key, row_number() OVER (ORDER BY encode(p_name), p_partkey) AS pos FROM part")
@@ -418,31 +593,50 @@ def _kv(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value"))
 
 
+def _saved(spark, sf_dir) -> kv.VersionedTable:
+    """The committed version of orders, opened anew."""
+
+    def make() -> str:
+        table = kv.VersionedTable(spark, folders.new_folder(spark, "kv"))
+        table.put(_kv(spark, sf_dir))
+        table.commit()
+        return table.path
+
+    return kv.VersionedTable(spark, _once(spark, sf_dir, "kv", make))
+
+
 @query("SELECT o_orderkey AS key, CASE WHEN o_orderkey < 100 THEN 500 ELSE o_custkey END AS value FROM orders")
 def kv_put(spark, sf_dir):
-    rows = _kv(spark, sf_dir)
-    return tiers.upsert(rows, rows.where("key < 100").withColumn("value", F.lit(500).cast("long")), "key")
+    table = _saved(spark, sf_dir)
+    table.put(_kv(spark, sf_dir).where("key < 100").withColumn("value", F.lit(500).cast("long")))
+    return table.rows()
 
 
 @query("SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey = 100")
 def kv_get(spark, sf_dir):
-    return _kv(spark, sf_dir).where("key = 100")
+    return _saved(spark, sf_dir).rows().where("key = 100")
 
 
 @query("SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey >= 100")
 def kv_delete(spark, sf_dir):
-    rows = _kv(spark, sf_dir)
-    return tiers.delete_keys(rows, rows.where("key < 100"), "key")
+    table = _saved(spark, sf_dir)
+    table.delete(table.rows().where("key < 100"))
+    return table.rows()
 
 
-@query("SELECT o_orderkey AS key, o_custkey AS value FROM orders")
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey < 100 THEN 500 ELSE o_custkey END AS value FROM orders")
 def kv_rollback(spark, sf_dir):
-    rows = _kv(spark, sf_dir)
-    table = kv.VersionedTable(spark, "unused")
-    table._saved = lambda: rows
-    table.put(rows.withColumn("value", F.lit(250).cast("long")))
+    """Two commits; later changes are rolled back and the signed header still fits."""
+    table = kv.VersionedTable(spark, folders.new_folder(spark, "kv"))
+    table.put(_kv(spark, sf_dir))
+    table.commit()
+    table.put(table.rows().where("key < 100").withColumn("value", F.lit(500).cast("long")))
+    table.commit()
+    table.put(table.rows().withColumn("value", F.lit(250).cast("long")))
+    table.delete(table.rows().where("key > 7"))
     table.rollback()
-    return table.rows()
+    table.verify()
+    return kv.VersionedTable(spark, table.path).rows()
 
 
 @query("SELECT o_orderkey & 15 AS bucket, count(*) AS n FROM orders GROUP BY 1")
@@ -454,15 +648,22 @@ def _extents(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("end"))
 
 
-@query("""WITH x AS (SELECT DISTINCT l_orderkey AS s, l_orderkey + l_linenumber AS e FROM lineitem),
+_EXTENTS = """WITH x AS (SELECT DISTINCT l_orderkey AS s, l_orderkey + l_linenumber AS e FROM lineitem),
 m AS (SELECT *, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM x),
 g AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (ORDER BY s, e) AS g FROM m)
-SELECT min(s) AS start, max(e) AS "end" FROM g GROUP BY g""")
+SELECT min(s) AS start, max(e) AS "end" FROM g GROUP BY g"""
+
+
+@query(_EXTENTS)
 def extent_coalesce(spark, sf_dir):
-    return kv.coalesce_extents(_extents(spark, sf_dir), block=4096)
+    return kv.coalesce_extents(_extents(spark, sf_dir), block=1 << 14)
 
 
-@query()
+@query(f"""WITH RECURSIVE free AS (SELECT list({{'a': start, 'b': "end"}} ORDER BY start) AS f FROM ({_EXTENTS})),
+w AS (SELECT -1 AS seq, f, CAST(NULL AS BIGINT) AS start FROM free
+  UNION ALL SELECT seq + 1, list_transform(f, lambda x, i: CASE WHEN i = fit THEN {{'a': x.a + c, 'b': x.b}} ELSE x END), f[fit].a
+  FROM (SELECT *, list_filter(range(1, len(f) + 1), lambda i: f[i].b - f[i].a >= c)[1] AS fit FROM (SELECT seq, f, (seq + 1) % 7 + 1 AS c FROM w WHERE seq < 199)))
+SELECT CAST(seq AS BIGINT) AS seq, start FROM w WHERE seq >= 0""")
 def extent_first_fit(spark, sf_dir):
     wanted = spark.range(200).select(F.col("id").alias("seq"), (F.col("id") % 7 + 1).alias("count"))
     return kv.first_fit(_extents(spark, sf_dir), wanted)
@@ -558,15 +759,46 @@ def bits_find(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", bits.bits_find(bits.bits_of(F.col("o_orderkey"), 20), "101").alias("at"))
 
 
+@query("""SELECT o_orderkey, b, o_orderkey AS u, o_orderkey - CASE WHEN b[1] = '1' THEN 16777216 ELSE 0 END AS i, lower(lpad(printf('%X', o_orderkey), 6, '0')) AS hex,
+translate(b, '01', '10') AS inverted, b[6:] || b[:5] AS rotated, b[4:] || '000' AS shifted, reverse(b) AS reversed, b[17:24] || b[9:16] || b[1:8] AS swapped,
+len(replace(b, '0', '')) AS ones, replace(b, '11', '0') AS replaced, b[:4] || '1010' || b[9:] AS overwritten, b[:4] || '1010' || b[5:] AS inserted,
+CASE WHEN instr(reverse(b), '101') > 0 THEN 24 - instr(reverse(b), '101') - 2 ELSE -1 END AS last_at,
+array_to_string(list_transform(list_filter(range(0, 24), lambda k: b[k + 1:k + 3] = '101'), lambda k: CAST(k AS VARCHAR)), ',') AS places,
+array_to_string(list_transform(range(0, 5), lambda k: b[5 * k + 1:5 * k + 5]), ',') AS cut, repeat('0', len(bin(o_orderkey + 1)) - 1) || bin(o_orderkey + 1) AS golomb, o_orderkey AS back
+FROM (SELECT o_orderkey, lpad(bin(o_orderkey), 24, '0') AS b FROM orders)""")
+def bits_strings(spark, sf_dir):
+    key, b = F.col("o_orderkey"), bits.bits_of(F.col("o_orderkey"), 24)
+    return load(spark, sf_dir, "orders").select(
+        "o_orderkey", b.alias("b"), bits.bits_uint(b).alias("u"), bits.bits_int(b).alias("i"), bits.bits_hex(b).alias("hex"), bits.bits_not(b).alias("inverted"),
+        bits.bits_rotate(b, 5).alias("rotated"), bits.bits_shift(b, 3).alias("shifted"), bits.bits_reverse(b).alias("reversed"), bits.bits_byteswap(b).alias("swapped"),
+        bits.bits_count(b).alias("ones"), bits.bits_replace(b, "11", "0").alias("replaced"), bits.bits_overwrite(b, "1010", 4).alias("overwritten"), bits.bits_insert(b, "1010", 4).alias("inserted"),
+        bits.bits_rfind(b, "101").alias("last_at"), F.array_join(bits.bits_find_all(b, "101").cast("array<string>"), ",").alias("places"), F.array_join(bits.bits_cut(b, 5), ",").alias("cut"),
+        bits.bits_golomb(key).alias("golomb"), bits.bits_from_golomb(bits.bits_golomb(key)).alias("back"),
+    )
+
+
 # Traces
 
 
-@query()
-def mq_trace(spark, sf_dir):
-    trace = load(spark, sf_dir, "events").select(
+def _trace(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "events").select(
         (F.col("user_id") % 16).alias("cache"), F.col("event_id").alias("t"), F.when(F.col("event_type") == "view", "get").otherwise("put").alias("op"), F.hash("props").alias("key")
     )
-    return traces.cache_trace(trace, 32)
+
+
+@query()
+def mq_trace(spark, sf_dir):
+    return traces.cache_trace(_trace(spark, sf_dir), 32)
+
+
+@query("""WITH t AS (SELECT user_id % 16 AS cache, event_id AS t, event_id // 2 AS key FROM events),
+f AS (SELECT cache, key, min(t) AS t FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cache ORDER BY t) AS i FROM f)
+SELECT e.cache, n.t, 'evict' AS event, e.key FROM r e JOIN r n ON e.cache = n.cache AND n.i = e.i + 8""")
+def mq_evictions(spark, sf_dir):
+    """Keys that are put once leave a cache of eight in their order, one for each put beyond."""
+    trace = load(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("cache"), F.col("event_id").alias("t"), F.lit("put").alias("op"), F.floor(F.col("event_id") / 2).alias("key"))
+    once = trace.groupBy("cache", "key").agg(F.min("t").alias("t"), F.first("op").alias("op"))
+    return traces.cache_events(once, 8).where("event = 'evict'")
 
 
 def _peers(spark, sf_dir) -> DataFrame:
@@ -578,6 +810,12 @@ def peer_expiry(spark, sf_dir):
     return traces.peer_expiry(_peers(spark, sf_dir))
 
 
+@query("""SELECT peer, ts + n * INTERVAL 1 SECOND AS at, state FROM (SELECT user_id AS peer, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events),
+(VALUES (5, 'evasive'), (10, 'expired')) l(n, state) WHERE later IS NULL OR later - ts > n * INTERVAL 1 SECOND""")
+def peer_states(spark, sf_dir):
+    return traces.peer_states(_peers(spark, sf_dir))
+
+
 @query("SELECT * FROM (SELECT user_id AS peer, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous, event_id AS seq FROM events) WHERE previous IS NOT NULL AND seq <> previous + 1")
 def sequence_gaps(spark, sf_dir):
     return traces.sequence_gaps(_peers(spark, sf_dir))

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.tiers import assign_pk
+
+
+def _lines(spark: SparkSession, path: str, number: str) -> DataFrame:
+    """Lines that aren't blank, numbered from 0 by file name, place of the split in the file, and place in the split."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"))
+    return assign_pk(lines.where(F.trim("value") != ""), number, -1, ["file", "block", "line"]).select(number, "value")
+
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of ``key ptr`` as pos, key, ptr."""
-    lines = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
-    return lines.select("pos", F.explode(F.regexp_extract_all("value", F.lit(r"(\d+)[ ,\t]+(\d+)"), F.lit(0))).alias("e")).select(
+    """Pairs of ``key ptr``, several to a line or one, as pos (their order), key, ptr."""
+    pairs = _lines(spark, path, "line").select("line", F.posexplode(F.regexp_extract_all("value", F.lit(r"(\d+)[ ,\t]+(\d+)"), F.lit(0))).alias("at", "e"))
+    return assign_pk(pairs, "pos", -1, ["line", "at"]).select(
         "pos", F.regexp_extract("e", r"^(\d+)", 1).cast("int").alias("key"), F.regexp_extract("e", r"(\d+)$", 1).cast("int").alias("ptr")
     )
 
@@ -17,8 +26,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 def read_oplog(spark: SparkSession, path: str) -> DataFrame:
     """Lines of ``s k``, ``i k p``, ``d k`` and ``u k p`` as seq, op, key, ptr."""
     part = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    return lines.select("seq", part[0].alias("op"), F.try_element_at(part, F.lit(2)).cast("int").alias("key"), F.try_element_at(part, F.lit(3)).cast("int").alias("ptr"))
+    return _lines(spark, path, "seq").select("seq", part[0].alias("op"), F.try_element_at(part, F.lit(2)).cast("int").alias("key"), F.try_element_at(part, F.lit(3)).cast("int").alias("ptr"))
 
 
 def read_profile(spark: SparkSession, path: str) -> dict[str, int]:
