@@ -1,7 +1,13 @@
-"""Intermediate tables in the folder that driver and executors share; memory of Python workers."""
+"""Intermediate tables in the folder that driver and executors share; memory of Python workers.
+
+All tables of a process lie in one folder that its file system removes when the JVM ends.
+Tables written inside `collected` belong to whoever opened it, who alone removes them.
+"""
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import functools
 import tempfile
@@ -11,54 +17,97 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths written by this process and not yet removed.
-_written: list[str] = []
-#: Used only where the session names no shared folder (tests).
-_own: list[str] = []
+#: Bytes of a batch for Python workers.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+_owner: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owner", default=None)
+#: This process's folder below each root.
+_own: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``, or set one of our own where it is unset."""
+    """Return ``spark.checkpoint.dir``; where it is unset, a folder of our own in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="tidewell-"))
-    spark.sparkContext.setCheckpointDir(_own[0])
-    return _own[0]
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if "" not in _own:
+        _own[""] = tempfile.mkdtemp(prefix="tidewell-")
+        spark.sparkContext.setCheckpointDir(_own[""])
+    return _own[""]
+
+
+def _path(spark: SparkSession, name: str):
+    """The file system and path of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """Return a fresh path below the shared folder."""
-    path = f"{root(spark)}/tidewell-{uuid.uuid4().hex[:12]}-{name}"
-    _written.append(path)
+    """Return a fresh path below the process's folder."""
+    base = root(spark)
+    if base not in _own or _own.get(f"{base}:app") != spark.sparkContext.applicationId:
+        _own[base], _own[f"{base}:app"] = f"{base}/tidewell-{uuid.uuid4().hex[:12]}", spark.sparkContext.applicationId
+        fs, folder = _path(spark, _own[base])
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    path = f"{_own[base]}/{uuid.uuid4().hex[:12]}-{name}"
+    if (owner := _owner.get()) is not None:
+        owner.append(path)
     return path
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside only."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet and read it back: lineage is cut, lost executors cost nothing."""
+    """Write `df` as Parquet and read it back: lineage is cut, lost executors cost nothing.
+
+    Batches for Python workers are small meanwhile: each is held on both sides.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with settings(spark, BATCHES):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def size(table: DataFrame) -> int:
+    """Bytes of the files that `table` reads, as Spark's own statistics have them."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list[str]]:
+    """Gather the paths of tables written inside."""
+    paths: list[str] = []
+    token = _owner.set(paths)
+    try:
+        yield paths
+    finally:
+        _owner.reset(token)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables whose readers have ended."""
+    while paths:
+        fs, path = _path(spark, paths.pop())
+        fs.delete(path, True)
+
+
 def drop(table: DataFrame) -> None:
     """Remove a table that `written` made and no plan will read again."""
-    paths = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
-    spark = table.sparkSession
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    for name in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def clear(spark: SparkSession) -> None:
-    """Remove every table written so far; call when their readers have ended."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    remove(table.sparkSession, list({f.rsplit("/", 1)[0] for f in table.inputFiles()}))
 
 
 def release(spark: SparkSession) -> None:
