@@ -13,15 +13,10 @@ the least fingerprint at the point keeps every link's component.
 
 Scale: copies collapse to one fingerprint before any link is sought; each fingerprint makes
 a bounded number of rows; no bucket yields more than HOT times its probes.
-
-`similar_groups` finds texts by similarity of their shingle sets instead of by bits.  Texts at
-a similarity of 0.8 differ in about ten of 64 bits, a ball that no table can hold; so it adds
-a fingerprint of min-wise symbols, whose segments such texts share, and verifies every pair.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,16 +29,6 @@ from tidewell.llm import scratch
 from tidewell.llm.components import components
 
 HOT = 64
-#: Segments and symbols a segment of the min-wise fingerprint: 99.8 % of pairs at a similarity of 0.8 share a segment.
-SEGMENTS, SYMBOLS = 21, 6
-#: Pairs whose estimated similarity is this far below the least one (5.6 standard errors) are dropped, others compared by their whole texts.
-MARGIN = 0.2
-#: Members of a bucket compared at once; a larger bucket is compared as pairs of blocks of about so many.
-BLOCK = 2048
-#: Candidates a member and block first tried, the most alike first, and the factor by which they grow until none is left.
-TRIED, GROWTH = 8, 16
-#: At most so many identifiers are broadcast; beyond that a shuffled join is used.
-BROADCAST_IDS = 500_000
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -147,208 +132,3 @@ def near_groups(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = linked.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-@functools.cache
-def _mixers() -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and addends of the min-wise hash functions."""
-    rng = np.random.default_rng(42)
-    draw = rng.integers(0, 1 << 64, size=(2, SEGMENTS * SYMBOLS, 1), dtype=np.uint64)
-    return draw[0] | np.uint64(1), draw[1]
-
-
-def symbols(hashes: np.ndarray) -> np.ndarray:
-    """Min-wise symbols of a set of shingle hashes; all -1 if there are none."""
-    times, plus = _mixers()
-    least = np.full(SEGMENTS * SYMBOLS, np.uint32(0xFFFFFFFF))
-    for at in range(0, len(hashes), 1024):
-        mixed = (hashes[None, at : at + 1024] * times + plus) >> np.uint64(32)
-        least = np.minimum(least, mixed.min(axis=1).astype(np.uint32))
-    return least.view(np.int32)
-
-
-def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, mark (a hash of the text), row, fp, sig and set (a 128-bit hash of the shingle set) of each row."""
-    import xxhash
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, sigs, sets = [], [], []
-            for text in batch.column(3):
-                hashes = shingle_hashes(text.as_py(), size)
-                fps.append(majority(hashes))
-                sigs.append(symbols(hashes))
-                sets.append(xxhash.xxh128_digest(np.unique(hashes).astype("<u8").tobytes()))
-            made = [pa.array(fps, pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "mark", "row", "fp", "sig", "set"])
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    return rows.mapInArrow(scratch.tidied(run), "doc_id long, mark long, row long, fp long, sig array<int>, set binary")
-
-
-def jaccard(a: str, b: str, size: int) -> float:
-    """Similarity of the shingle sets of two texts; 1 if both are empty."""
-    x, y = (np.unique(shingle_hashes(t, size)) for t in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (a, b) of nodes whose shingle sets have at least the similarity."""
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    judged = pairs.join(left, "a").join(right, "b").select("a", "b", (same / (SEGMENTS * SYMBOLS)).alias("about"))
-    judged = scratch.written(judged.where(F.col("about") >= similarity - MARGIN).select("a", "b"), "near-judged")
-    ids = judged.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ids, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
-    wanted = scratch.written(wanted, "near-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.join(few, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")))
-    texts = scratch.written(rows.select("node", text.alias("text")).dropDuplicates(["node"]), "near-texts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [jaccard(x.as_py(), y.as_py(), size) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
-
-    first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = judged.join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
-    return scratch.written(both.mapInArrow(scratch.tidied(run), "a long, b long"), "near-links")
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns key, low, high, block, node, root and sig of each run of equal key, low and high."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-        own.append(batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1))
-        held = [np.concatenate(both) for both in zip(held, own, strict=True)] if held else own
-        cuts = (np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in held[:3]])) + 1).tolist()
-        for start, end in zip([0, *cuts], cuts, strict=False):
-            yield [c[start:end] for c in held]
-        held = [c[cuts[-1] :].copy() if cuts else c for c in held]
-    if held:
-        yield held
-
-
-def _same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Number of equal symbols of each row of x with each of y."""
-    if len(x) * len(y) <= 1024:
-        return (x[:, None, :] == y[None, :, :]).sum(axis=2)
-    same = np.zeros((len(x), len(y)), dtype=np.int16)
-    for k in range(x.shape[1]):
-        same += x[:, k, None] == y[None, :, k]
-    return same
-
-
-def _meet(group: list[np.ndarray], most: int, least: float) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Nodes (a > b) of pairs with different roots and an estimate of at least `least`: `most` a
-    row, the most alike first; and whether there are more.  A pair has a member outside the
-    commonest root, so those of that root aren't compared with each other."""
-    _, low, high, block, node, root, sig = group
-    names, counts = np.unique(root, return_counts=True)
-    common = root == names[counts.argmax()]
-    if low[0] == high[0]:
-        order = np.argsort(common, kind="stable")
-        parts = [(order[: len(order) - counts.max()], order, True)]
-    else:
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        parts = [(left[~common[left]], right, False), (left[common[left]], right[~common[right]], False)]
-    found, more = [], False
-    for rows, columns, upper in parts:
-        theirs = np.ascontiguousarray(sig[columns])
-        for at in range(0, len(rows), 256):
-            own = rows[at : at + 256]
-            same = _same(sig[own], theirs)
-            good = (same >= least * sig.shape[1]) & (root[own][:, None] != root[columns][None, :])
-            if upper:
-                good &= np.arange(len(columns))[None, :] > np.arange(at, at + len(own))[:, None]
-            if (good.sum(axis=1) > most).any():
-                more = True
-                first = np.argsort(np.where(good, -same, 1), axis=1, kind="stable")[:, :most]
-                kept = np.zeros_like(good)
-                np.put_along_axis(kept, first, True, axis=1)
-                good &= kept
-            x, y = np.nonzero(good)
-            found.append((node[own[x]], node[columns[y]]))
-    x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    return np.maximum(x, y), np.minimum(x, y), more
-
-
-def _meetings(table: DataFrame, nodes: DataFrame, most: int, least: float) -> DataFrame:
-    """key, a, b and more of pairs of a bucket's members (key, node, root) with different roots; see `_meet`."""
-    spread = table.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.min("root").alias("from"), F.max("root").alias("to"))
-    rows = table.join(spread.where("from < to").select("key", "blocks"), "key").join(nodes.select("node", "sig"), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "sig")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, n = [], 0
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=["key", "a", "b", "more"])
-
-        for group in _blocks(batches):
-            a, b, more = _meet(group, most, least)
-            made.append((np.full(len(a), group[0][0]), a, b, np.full(len(a), more)))
-            n += len(a)
-            if n >= 65536 or len(made) >= 65536:
-                yield batch()
-                made, n = [], 0
-        if made:
-            yield batch()
-
-    sides = ["key", "low", "high"]
-    return rows.repartition(*sides).sortWithinPartitions(*sides).mapInArrow(scratch.tidied(run), "key long, a long, b long, more boolean")
-
-
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Return doc_id, component_id (smallest doc_id that links reach) for each row.
-
-    Texts link whose sets of `size`-word shingles have at least the Jaccard similarity.
-    Candidates are fingerprints within two bits and texts that share a segment of min-wise
-    symbols: each bucket's members are compared with its least member, then with all members
-    that links don't yet reach, until no bucket holds such a pair untried.  Texts without words
-    are alike; one with fewer words than `size` has one shingle.  A null doc_id is never
-    smallest unless alone (then null).  No rows: an empty result.
-    """
-    sketches = scratch.written(_sketches(docs, size), "near-sketches")
-    nodes = sketches.groupBy("set").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "mark", "fp", "sig"), "row").alias("of"))
-    nodes = scratch.written(nodes.select("node", "set", "least", "of.*"), "near-nodes")
-    fps = scratch.written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-fps")
-    near = links(fps.select("fp")).join(fps.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(fps.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
-    near = near.select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    alike = nodes.join(fps.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * SYMBOLS + 1, F.lit(SYMBOLS))))
-    table = scratch.written(nodes.select("node", F.explode(keys).alias("key")), "near-table")
-    heads = table.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    table = scratch.written(table.join(heads, "key"), "near-met")
-    pairs = table.select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(near).unionByName(alike)
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    tried = scratch.written(pairs, "near-tried")
-    found = _verified(tried, nodes, docs, size, similarity)
-    table, most = table.select("key", "node"), TRIED
-    while True:
-        roots = scratch.written(components(found), "near-roots")
-        if table.isEmpty():
-            break
-        rooted = scratch.written(table.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
-        met = scratch.written(_meetings(rooted, nodes, most, similarity - MARGIN), "near-met")
-        pairs = scratch.written(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-tried")
-        table = scratch.written(table.join(met.where("more").select("key").distinct(), "key", "left_semi"), "near-table")
-        if not pairs.isEmpty():
-            found = found.unionByName(_verified(pairs, nodes, docs, size, similarity))
-            tried = tried.unionByName(pairs)
-        elif table.isEmpty():
-            break
-        most *= GROWTH
-    linked = nodes.select("set", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = linked.join(ids, "root").select("set", "component_id")
-    return sketches.select("doc_id", "set").join(classes, "set").select("doc_id", "component_id")
