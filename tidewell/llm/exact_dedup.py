@@ -14,9 +14,6 @@ Only digests with two or more rows are checked; of the files only those that loc
 
 from __future__ import annotations
 
-import contextlib
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,19 +45,6 @@ def _few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if scratch.size(keys) <= BROADCAST_BYTES else keys
 
 
-@contextlib.contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings that hold inside only."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 class SeenTexts:
     """All rows given to `add`, grouped by equal texts; kept in a folder, so that another process can go on.
 
@@ -93,7 +77,7 @@ class SeenTexts:
         rows.write.parquet(f"{self.path}/rows/batch={self._batches()}")
         staged = self.rows()
         one = {"spark.sql.streaming.stateStore.unloadOnCommit": "true"} if scratch.size(staged) <= BATCH_BYTES else {}
-        with _settings(self.spark, SETTINGS | one):
+        with scratch.settings(self.spark, SETTINGS | one):
             stream = self.spark.readStream.schema(staged.schema).option("maxBytesPerTrigger", str(BATCH_BYTES)).parquet(f"{self.path}/rows")
             row = F.struct("n_orig", "neg_id", "mark", (-F.col("batch")).alias("neg_batch"), (-F.col("uid")).alias("neg_uid"), F.col("_metadata.file_path").alias("locator"))
             keyed = stream.groupBy("digest").agg(F.max(row).alias("best"), F.count(F.lit(1)).alias("n"))
@@ -103,7 +87,7 @@ class SeenTexts:
 
     def state(self) -> DataFrame:
         """The keyed state: digest, best (the row that stays, and its locator), n."""
-        with _settings(self.spark, SETTINGS):
+        with scratch.settings(self.spark, SETTINGS):
             raw = self.spark.read.format("statestore").load(f"{self.path}/state")
             best, n = (f.name for f in raw.schema["value"].dataType.fields)
             return scratch.written(raw.select(F.col("key.digest").alias("digest"), F.col(f"value.`{best}`").alias("best"), F.col(f"value.`{n}`").alias("n")), "dedup-state")
