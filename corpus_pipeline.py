@@ -7,6 +7,9 @@ and reads it again as the next one's input.  All stages but the last return the
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +17,26 @@ from tidewell.llm import scratch
 
 #: Documents whose language is less sure than this are rejected, as are those without letters.
 LEAST_SCORE = 0.4
-#: At most so many identifiers are broadcast; beyond that a shuffled join is used.
-BROADCAST_IDS = 500_000
+
+#: Intermediate tables of the stage called last, which its result may still read.
+_last: list[str] = []
+
+
+@contextlib.contextmanager
+def _tables(spark: SparkSession) -> Iterator[None]:
+    """A stage's intermediate tables; those of the stage before go, whose result has been written."""
+    scratch.remove(spark, _last)
+    with scratch.collected() as paths:
+        yield
+    _last.extend(paths)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language the classifier can tell."""
     from tidewell.llm.language_id import UNKNOWN, fit_sample, identify
 
-    scratch.clear(spark)
-    judged = identify(docs, fit_sample(docs))
+    with _tables(spark):
+        judged = identify(docs, fit_sample(docs))
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
@@ -31,27 +44,24 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts."""
     from tidewell.llm.exact_dedup import exact_dedup as keep
 
-    scratch.clear(spark)
-    return keep(docs)
+    with _tables(spark):
+        return keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    from tidewell.llm.simhash import similar_groups
+    from tidewell.llm.similar import near_dedup as keep
 
-    scratch.clear(spark)
-    groups = similar_groups(docs)
-    gone = scratch.written(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(few, F.col("doc_id") == F.col("__gone"), "left_anti")
+    with _tables(spark):
+        return keep(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts; n_chars follows."""
     from tidewell.llm.pii import redact
 
-    scratch.clear(spark)
-    clean = redact(docs)
+    with _tables(spark):
+        clean = redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
@@ -61,8 +71,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from tidewell.llm.packing import pack
 
-    scratch.clear(spark)
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    with _tables(spark):
+        return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -78,10 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to `documents`.  A stage's table goes once the next one is written; the last stays."""
+    docs, former = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        path = f"{scratch.root(spark)}/pipeline-{scratch.uuid.uuid4().hex[:12]}-{name}"
+        path = scratch.new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        scratch.remove(spark, former)
+        former, docs = [path], spark.read.parquet(path)
+    scratch.remove(spark, _last)
     return docs
