@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
+import xxhash
 
-#: Odd multipliers of the polynomial hashes.
-BYTE, ONE, TWO = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-SEGMENT = 1 << 20
+#: Odd multipliers of the mixes and of the polynomial sums.
+ONE, TWO = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
 @functools.lru_cache(maxsize=8)
@@ -37,34 +37,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all words in order, and each text's first word (one more entry at the end)."""
-    texts = texts.cast(pa.large_binary())
-    n = len(texts)
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64, count=n + 1, offset=8 * texts.offset) if n else np.zeros(1, dtype=np.int64)
-    raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
-    at = at - at[0]
-    if not len(raw):
-        return np.zeros(0, dtype=np.uint64), np.zeros(n + 1, dtype=np.int64)
-    space = SPACE[raw]
-    edge = at[:-1][np.diff(at) > 0]
-    first = np.concatenate(([True], space[:-1]))
-    first[edge] = True
-    last = np.concatenate((space[1:], [True]))
-    last[at[1:][np.diff(at) > 0] - 1] = True
-    starts, ends = np.flatnonzero(~space & first), np.flatnonzero(~space & last) + 1
-    names = np.empty(len(starts), dtype=np.uint64)
-    k = 0
-    while k < len(starts):
-        stop = max(k + 1, int(np.searchsorted(ends, starts[k] + SEGMENT, side="right")))
-        a, b = starts[k], ends[stop - 1]
-        up, down = powers(BYTE, b - a + 1)
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], dtype=np.uint64)))
-        s, e = starts[k:stop] - a, ends[k:stop] - a
-        names[k:stop] = mix((sums[e] - sums[s]) * down[s])
-        k = stop
-    return names, np.searchsorted(starts, at)
+class Names(dict):
+    """XXH64 of words for one seed; forgotten when `limit` short words are known."""
+
+    def __init__(self, seed: int, limit: int = 200_000, longest: int = 64):
+        self.seed, self.limit, self.longest = seed, limit, longest
+
+    def __missing__(self, word: bytes) -> int:
+        name = xxhash.xxh64_intdigest(word, self.seed)
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = name
+        return name
+
+    def of(self, texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Names of all words in order, and each text's first word (one more entry at the end)."""
+        parts, bounds, get = [], np.zeros(len(texts) + 1, dtype=np.int64), self.__getitem__
+        for i, text in enumerate(texts):
+            words = text.split() if text else ()
+            parts.append(np.fromiter(map(get, words), dtype=np.uint64, count=len(words)))
+            bounds[i + 1] = bounds[i] + len(words)
+        return np.concatenate([np.zeros(0, dtype=np.uint64), *parts]), bounds
 
 
 def sums(names: np.ndarray, base: np.uint64) -> np.ndarray:
@@ -72,7 +66,27 @@ def sums(names: np.ndarray, base: np.uint64) -> np.ndarray:
     return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(names * up[: len(names)], dtype=np.uint64)))
 
 
-def named(sums_: np.ndarray, base: np.uint64, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Names of the word sequences from starts to ends, by prefix sums."""
+def summed(sums_: np.ndarray, base: np.uint64, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Names of the word sequences from starts to ends by prefix sums.  Long sequences of few words can
+    share such a name; it tells where symbols begin and end, never that words are equal."""
     _, down = powers(base, len(sums_))
     return mix((sums_[ends] - sums_[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def chained(names: np.ndarray, starts: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
+    """Names of the sequences of `length` words from starts, mixed word by word."""
+    out = np.full(len(starts), base, dtype=np.uint64)
+    for k in range(length):
+        out = mix((out + names[starts + k]) * base)
+    return out
+
+
+def digest(names: np.ndarray) -> tuple[int, int]:
+    """XXH3 (128 bits) of a sequence of names, as two signed numbers."""
+    both = np.frombuffer(xxhash.xxh3_128_digest(names.tobytes()), dtype=np.int64)
+    return int(both[0]), int(both[1])
+
+
+def proof(words: Sequence[bytes]) -> bytes:
+    """SHA-256 of words joined by spaces, which none of them holds."""
+    return hashlib.sha256(b" ".join(words)).digest()
