@@ -5,7 +5,8 @@ prefix's encoding: the one that, next to the last token of the shorter prefix be
 it, would survive as a pair.  Storing that token for each prefix makes appends exact
 and cheap, and an edit re-encodes from the edited byte on.
 
-Scale: one map-side pass without an exchange; memory is bounded by the caches' limits.
+Scale: one map-side pass without an exchange.  Caches hold a bounded number of short strings, and
+a group of texts is coded at once whose size is bounded but for one long text.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import struct
 from array import array
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -59,7 +61,7 @@ class Vocabulary:
 
     def valid(self, left: int, right: int) -> bool:
         """Whether merging would leave these two tokens side by side."""
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 500_000:
             self.known.clear()
         fits = self.known[left << 32 | right] = self._undo(left, right)
         return fits
@@ -137,37 +139,43 @@ class Prefixes:
 
 
 class Coder:
-    """Encoder and decoder for a file of ranks and a pre-token pattern."""
+    """Encoder and decoder for a file of ranks and a pre-token pattern.
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    Ids of short pre-tokens, and of short parts between safe cuts, are kept from text to text.
+    """
+
+    def __init__(self, path: str, pattern: str, limit: int = 300_000, longest: int = 64):
         with open(path, "rb") as f:
             self.vocabulary = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-        self.pattern, self.limit = regex.compile(pattern), limit
-        #: Ids of pre-tokens, and of parts between safe cuts without their leading space.
+        self.pattern, self.limit, self.longest = regex.compile(pattern), limit, longest
+        #: Ids of pre-tokens, and of parts without their leading space.
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """Encode pre-tokens in order, each from the prefix that it shares with the one before."""
-        table, whole, known, one = Prefixes(self.vocabulary), self.vocabulary.ranks.get, self.words, struct.Struct("=I").pack
+        table, whole, known, one = Prefixes(self.vocabulary), self.vocabulary.ranks.get, {}, struct.Struct("=I").pack
         for raw, word in sorted((w.encode(), w) for w in words):
             token = whole(raw)
             known[word] = array("I", table.become(raw).tokens()).tobytes() if token is None else one(token)
+        return known
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        if len(self.words) > self.limit or len(self.parts) > self.limit:
-            self.words, self.parts = {}, {}
         cuts = [cut(t) if t else [""] for t in texts]
         new = set().union(*(c[1:] for c in cuts)) - self.parts.keys()
         found = {p: self.pattern.findall(" " + p) for p in new}
         heads = [self.pattern.findall(c[0]) for c in cuts]
-        self.learn({w for words in (*found.values(), *heads) for w in words} - self.words.keys())
-        known = self.words.__getitem__
-        for part, words in found.items():
-            self.parts[part] = b"".join(map(known, words))
-        get = self.parts.__getitem__
-        return [b"".join([*map(known, h), *map(get, c[1:])]) for h, c in zip(heads, cuts, strict=True)]
+        fresh = self.learn({w for words in (*found.values(), *heads) for w in words} - self.words.keys())
+        ids = ChainMap(fresh, self.words).__getitem__
+        parts = {part: b"".join(map(ids, words)) for part, words in found.items()}
+        get = ChainMap(parts, self.parts).__getitem__ if parts else self.parts.__getitem__
+        out = [b"".join([*map(ids, h), *map(get, c[1:])]) for h, c in zip(heads, cuts, strict=True)]
+        for kept, more in ((self.words, fresh), (self.parts, parts)):
+            if len(kept) + len(more) > self.limit:
+                kept.clear()
+            kept.update((k, v) for k, v in more.items() if len(k) <= self.longest)
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
