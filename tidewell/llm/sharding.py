@@ -1,13 +1,14 @@
 """Reproducible global shuffle into shards (DataFrame functions only).
 
-Rows get global numbers 0..n-1 that depend on their content alone: order by
-(bucket, doc_id, size, checksum), with one prefix sum over at most `BUCKETS` totals.
+Rows get global numbers 0..n-1 that depend on their content alone: their places in the order of
+(doc_id, size, checksum), by ranks inside ranges and one prefix sum over the ranges' totals.
 A Feistel network over a x a numbers (a = ceil(sqrt n)) permutes them; numbers that
 land at n or beyond walk on along their cycle.  Shard and slot are the remainder and
 the quotient of the permuted number, so either can be computed from the other.
 
-Scale: text is read once and reduced to 24 bytes a row before the first exchange;
-equal rows are counted before it.  The single-task prefix sum has `BUCKETS` rows.
+Scale: text is read once and reduced to 32 bytes a row before the only exchange, which deals
+equal rows to as many ranges as they need, by where they were read.  The single-task prefix
+sum has a row for each range.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import scratch
 
-BUCKETS = 4096
 #: Round keys, below the prime; any fixed numbers do.
 KEYS = (1_664_525, 1_013_904_223, 69_069, 362_437, 521_288_629, 88_675_123, 123_456_789, 40_692)
 PRIME = 2**31 - 1
@@ -89,21 +89,22 @@ def shard(docs: DataFrame, n_shards: int = 8, keys=KEYS) -> DataFrame:
     (size 1), a null doc_id sorts first.  Equal rows get different numbers.  No rows:
     an empty result.  Other columns of `docs` are ignored.
     """
-    text = F.coalesce("text", F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("__read"),
     )
-    columns = ["doc_id", "size", "text_crc32"]
-    cells = rows.groupBy(F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).alias("bucket"), *columns).agg(F.count(F.lit(1)).alias("copies"))
-    cells = scratch.written(cells, "shard-cells")
-    totals = cells.groupBy("bucket").agg(F.sum("copies").alias("total"))
-    n = totals.agg(F.sum("total")).first()[0] or 0
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("bucket", F.coalesce(F.sum("total").over(before(Window.orderBy("bucket"))), F.lit(0)).alias("start"))
-    own = F.coalesce(F.sum("copies").over(before(Window.partitionBy("bucket").orderBy(*columns))), F.lit(0))
-    numbered = cells.withColumn("own", own).join(F.broadcast(starts), "bucket")
-    numbered = numbered.select(*columns, F.explode(F.sequence(F.col("start") + F.col("own"), F.col("start") + F.col("own") + F.col("copies") - 1)).alias("row_number"))
+    rows = scratch.written(rows, "shard-rows")
+    n = rows.count()
+    order = ["doc_id", "size", "text_crc32", "__read"]
+    local = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = scratch.written(local.select(*order[:3], F.spark_partition_id().alias("__part"), (F.monotonically_increasing_id() % (1 << 33)).alias("__at")), "shard-ranges")
+    totals = local.groupBy("__part").agg(F.count(F.lit(1)).alias("total"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    # A row for each range of the exchange.
+    numbered = local.join(F.broadcast(starts), "__part").select(*order[:3], (F.col("start") + F.col("__at")).alias("row_number"))
     out = numbered.withColumn("permuted", permuted(F.col("row_number"), n, keys))
     return out.withColumns({"shard": (F.col("permuted") % n_shards).cast("int"), "slot": F.call_function("div", F.col("permuted"), F.lit(n_shards).cast("long"))})
