@@ -15,8 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm import scratch
+
 #: host, path, verdict
 Rule = tuple[str, str, str]
+#: Labels under which country codes let names be registered, and an address in numbers.
+GENERIC = "ac|co|com|edu|go|gov|ne|net|or|org"
+ADDRESS = r"^[0-9]+(\.[0-9]+){3}\z"
 #: Strength of a prior where moments show no spread, and least correlation assumed.
 RHO = (1e-4, 0.99)
 
@@ -31,13 +36,21 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def domain_of(host: Column) -> Column:
-    """Last two labels of a host, or the host."""
-    return F.substring_index(host, ".", -2)
+def site_of(host: Column) -> Column:
+    """A host without user and port, which is what reputation goes by."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*\z", "")
+
+
+def suffix_of(site: Column) -> Column:
+    """The last label; the last two where these are of the kind of ``co.uk`` and a label stands before them; an address in numbers as it is."""
+    two = F.regexp_extract(site, rf"^.*\.((?:{GENERIC})\.[a-z]{{2}})\z", 1)
+    return F.when(site.rlike(ADDRESS), site).when(two != "", two).otherwise(F.substring_index(site, ".", -1))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(site: Column, suffix: Column) -> Column:
+    """The suffix and the label before it, or the site."""
+    labels = F.size(F.split(suffix, r"\.")) + 1
+    return F.when(site.rlike(ADDRESS), site).otherwise(F.array_join(F.slice(F.split(site, r"\."), F.greatest(F.size(F.split(site, r"\.")) - labels + 1, F.lit(1)), labels), "."))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -66,8 +79,8 @@ def _strength(children: DataFrame, parent: str) -> DataFrame:
 
 
 def reputation(counts: DataFrame, z: float = 1.645) -> DataFrame:
-    """From (host, n, s): host, mean, upper.  Hosts without a label take their parents' prior."""
-    hosts = counts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    """From (site, n, s): site, mean, upper.  Sites without a label take their parents' prior."""
+    hosts = counts.withColumn("suffix", suffix_of(F.col("site"))).withColumn("domain", domain_of(F.col("site"), F.col("suffix")))
     some = hosts.where("n > 0")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("whole", F.lit(0))
@@ -80,7 +93,7 @@ def reputation(counts: DataFrame, z: float = 1.645) -> DataFrame:
     b = F.col("n") - F.col("s") + F.col("m") * (1 - F.col("mu2"))
     mean = a / (a + b)
     upper = mean + F.lit(z) * F.sqrt(mean * (1 - mean) / (a + b + 1))
-    return hosts.join(domains, "domain").join(F.broadcast(m3)).select("host", mean.alias("mean"), upper.alias("upper"))
+    return hosts.join(domains, "domain").join(F.broadcast(m3)).select("site", mean.alias("mean"), upper.alias("upper"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float = 0.5, z: float = 1.645) -> DataFrame:
@@ -88,15 +101,16 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float
 
     `outcomes` has page_id and good (0, 1 or null); repeated or null ids count once and
     not at all.  Null urls and urls without ``://`` have empty host and path and are
-    judged as the host of that name.  No labels: every mean is 1/2 and, the bound being
+    judged as the host of that name.  Repeated pages count each time, and are judged alike.  No labels: every mean is 1/2 and, the bound being
     above it, pages without a rule are allowed.  Other columns are ignored.
     """
-    url = F.col("url")
-    parts = pages.select(F.col("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    url = F.col("url").cast("string")
+    parts = pages.select(F.col("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("site", site_of(F.col("host")))
     labels = outcomes.where("good is not null and page_id is not null").groupBy("page_id").agg(F.max("good").cast("long").alias("good"))
-    counts = parts.join(labels, "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("s"))
+    counts = parts.join(labels, "page_id", "left").groupBy("site").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("s"))
+    known = scratch.written(reputation(scratch.written(counts, "url-sites"), z), "url-reputation")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("upper") < limit, "block").otherwise("allow")
-    return parts.join(reputation(counts, z), "host").select(
+    return parts.join(known, "site").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "mean"
     )
