@@ -101,7 +101,7 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _url_sql(), "op5_substring_dedup": REPEATS_SQL, "op7_exact_dedup": EXACT_SQL, "op9_nearest": NEAREST_SQL}
+    return {"op10_sharding": _shard_sql(), "op3_url_filter": _url_sql(), "op5_substring_dedup": REPEATS_SQL, "op7_exact_dedup": EXACT_SQL, "op9_nearest": NEAREST_SQL}
 
 
 EXACT_SQL = r"""
@@ -136,6 +136,8 @@ FROM w LEFT JOIN kept USING (doc_id)
 
 
 def _url_sql() -> str:
+    from tidewell.llm.url_filter import ADDRESS, GENERIC
+
     cases = sorted(URL_RULES, key=lambda r: (-len(r[0] + r[1]), -len(r[0])))
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for h, p, _ in cases) + " END"
@@ -147,18 +149,49 @@ def _url_sql() -> str:
             SELECT sum(n) AS pn, sum(s) AS ps, sum(n * n) AS pn2, sum(s * s / n) AS pq, count(*) AS k, sum(s) / sum(n) AS p FROM {children} WHERE n > 0 GROUP BY {parent}))))"""
 
     return rf"""
-WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH urls AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                       regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+parts AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*\z', '') AS site FROM urls),
 good AS (SELECT doc_id AS page_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT *, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, 0 AS whole FROM (
-  SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS s FROM parts LEFT JOIN good USING (page_id) GROUP BY host)),
+sites AS (SELECT *, regexp_matches(site, '{ADDRESS}') AS address, regexp_extract(site, '^.*\.((?:{GENERIC})\.[a-z]{{2}})\z', 1) AS two, string_split(site, '.') AS ls FROM (
+  SELECT site, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS s FROM parts LEFT JOIN good USING (page_id) GROUP BY site)),
+hosts AS (SELECT site, n, s, 0 AS whole, CASE WHEN address THEN site WHEN two <> '' THEN two ELSE ls[-1] END AS suffix,
+    CASE WHEN address THEN site ELSE array_to_string(ls[greatest(len(ls) - CASE WHEN two <> '' THEN 2 ELSE 1 END, 1):], '.') END AS domain FROM sites),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(s) AS s FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, 0 AS whole, sum(n) AS n, sum(s) AS s FROM domains GROUP BY ALL),
 mu0 AS (SELECT (sum(s) + 1) / (sum(n) + 2) AS mu0 FROM suffixes),
 mu1 AS (SELECT suffix, (s + m * mu0) / (n + m) AS mu1 FROM suffixes, mu0, {strength("suffixes", "whole")}),
 mu2 AS (SELECT domain, (s + m * mu1) / (n + m) AS mu2 FROM domains JOIN mu1 USING (suffix), {strength("domains", "suffix")}),
-beta AS (SELECT host, s + m * mu2 AS a, n - s + m * (1 - mu2) AS b FROM hosts JOIN mu2 USING (domain), {strength("hosts", "domain")}),
-bound AS (SELECT host, a / (a + b) + 1.645 * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)) AS upper FROM beta)
+beta AS (SELECT site, s + m * mu2 AS a, n - s + m * (1 - mu2) AS b FROM hosts JOIN mu2 USING (domain), {strength("hosts", "domain")}),
+bound AS (SELECT site, a / (a + b) + 1.645 * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)) AS upper FROM beta)
 SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts JOIN bound USING (host)
+FROM parts JOIN bound USING (site)
+"""
+
+
+def _shard_sql() -> str:
+    from tidewell.llm.sharding import KEYS, PRIME
+
+    def network(rows: str, x: str) -> str:
+        """A pass of the network over column x of rows, as column y."""
+        sql = f"(SELECT *, {x} // a AS l, {x} % a AS r FROM {rows})"
+        for k in KEYS:
+            p = f"((r + {k}) % {PRIME})"
+            sql = f"(SELECT * EXCLUDE (l, r), r AS l, (l + {p} * {p} % {PRIME} * {p} % {PRIME}) % a AS r FROM {sql})"
+        return f"(SELECT * EXCLUDE (l, r), l * a + r AS y FROM {sql})"
+
+    # CRC-32 by half bytes, the low one of each byte first.
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (3988292384 if c & 1 else 0)
+        table.append(c)
+    return f"""
+WITH RECURSIVE digits AS (SELECT doc_id, string_split(hex(encode(coalesce(text, ''))), '') AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents),
+halves AS (SELECT doc_id, bytes + 1 AS size, list_transform(range(2 * bytes), lambda k: CAST(instr('0123456789ABCDEF', h[k + 2 - 2 * (k % 2)]) - 1 AS BIGINT)) AS halves FROM digits),
+sums AS (SELECT doc_id, size, xor(4294967295, list_reduce(halves, lambda c, x: xor(c >> 4, [{", ".join(f"{c}::BIGINT" for c in table)}][(xor(c, x) & 15) + 1]), 4294967295::BIGINT)) AS text_crc32 FROM halves),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS x, count(*) OVER () AS n FROM sums),
+sized AS (SELECT *, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM numbered),
+walk AS (SELECT * FROM {network("sized", "x")} UNION ALL SELECT * EXCLUDE (z) FROM {network("(SELECT * EXCLUDE (y), y AS z FROM walk WHERE y >= n)", "z")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(y % 8 AS INTEGER) AS shard, y // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM walk WHERE y < n
 """
