@@ -76,7 +76,7 @@ def test_exact_dedup(spark):
 @pytest.mark.parametrize("digest", [exact_dedup.sha256_digest, lambda c: F.encode(F.substring(c, 1, 1), "UTF-8")])
 def test_exact_dedup_goes_on_from_its_state(spark, tmp_path, digest):
     """Three batches, the last by another object on the same folder, decide as one does; settings stay."""
-    keys = [*exact_dedup.SETTINGS, "spark.sql.streaming.stateStore.unloadOnCommit"]
+    keys = [*exact_dedup.SETTINGS, "fs.file.impl", "spark.sql.streaming.stateStore.unloadOnCommit"]
     before = [spark.conf.get(k, None) for k in keys]
     texts = corpus()
     seen = exact_dedup.SeenTexts(spark, str(tmp_path), digest)
@@ -652,13 +652,63 @@ def test_urls(spark):
     assert rows[10].path == "/p" and all(r.verdict == "allow" for k, r in rows.items() if r.rule is None)
 
 
+def redacted(text, spans):
+    out, at = "", 0
+    for a, kind, b in spans:
+        if a >= at:
+            out += text[at:a] + f"[{pii.ALL[kind].upper()}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
 def test_pipeline(spark):
+    """Against plain versions of its stages, one after the other, over a whole table."""
     import corpus_pipeline
 
-    rows = corpus_pipeline.run(spark, SF).toPandas()
-    docs = expected("SELECT doc_id, text FROM documents").set_index("doc_id").text
-    assert rows.doc_id.isin(docs.index).all()
-    seen = {}
-    for i, t in docs.items():
-        seen.setdefault(hashlib.sha256(re.sub("[\x20\x09-\x0d]", "", t or "").encode()).hexdigest(), []).append(i)
-    assert rows.doc_id.nunique() <= len(seen) and rows.doc_id.nunique() > 0.9 * len(seen)
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit_sample(source)
+    docs = []
+    for i, text in expected("SELECT doc_id, text FROM documents ORDER BY doc_id").itertuples(index=False):
+        language, score = model.predict(text)
+        if language != "und" and score >= corpus_pipeline.LEAST_SCORE:
+            docs.append((int(i), text or ""))
+    best = {}
+    for i, t in docs:
+        key = re.sub("[\x20\x09-\x0d]", "", t)
+        best[key] = max(best.get(key, (-1, 0)), (len(t), -i))
+    stay = {-i for _, i in best.values()}
+    docs = [(i, t) for i, t in docs if i in stay]
+    root = alike([t for _, t in docs])
+    docs = [d for k, d in enumerate(docs) if root[k] == k]
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    wanted = []
+    for i, t in docs:
+        ids = tokenizer.encode(redacted(t, spans[i]), add_special_tokens=False).ids + [0]
+        for at in range(0, len(ids), 1024):
+            own = ids[at : at + 1024]
+            wanted.append((i, at, len(own), zlib.crc32(array("I", own).tobytes()), len(ids)))
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == sorted(wanted)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    for (s, at, n), (t, next_at, _) in zip(places, places[1:], strict=False):
+        assert next_at == (at + n if s == t else 0)
+    assert max(at + n for _, at, n in places) <= 1024
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    """Nulls, empty texts, repeated rows and columns with names that the stages use themselves."""
+    import corpus_pipeline
+
+    texts = [*corpus(), (None, "the and of to " * 9), (None, "the and of to " * 9), (3, "again"), (None, None)]
+    names = ["__gone", "__id", "doc", "row", "set", "uid", "batch", "digest", "spans", "base", "score", "lang_pred"]
+    odd = frame(spark, texts).withColumns({n: F.lit("x") for n in names}).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "packing":
+                assert out.columns == docs.columns, name
+                assert out.count() <= docs.count()
+            path = f"{corpus_pipeline.scratch.new_path(spark, 'odd')}"
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)

@@ -26,7 +26,7 @@ BATCH_BYTES = 64 << 30
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     # Else each partition's store takes 4 MB for its manifest, however small it is.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
@@ -74,7 +74,8 @@ class SeenTexts:
             (-F.col("doc_id").cast("long")).alias("neg_id"),
             F.monotonically_increasing_id().alias("uid"),
         )
-        rows.write.parquet(f"{self.path}/rows/batch={self._batches()}")
+        with scratch.settings(self.spark, scratch.RAW):
+            rows.write.parquet(f"{self.path}/rows/batch={self._batches()}")
         staged = self.rows()
         one = {"spark.sql.streaming.stateStore.unloadOnCommit": "true"} if scratch.size(staged) <= BATCH_BYTES else {}
         with scratch.settings(self.spark, SETTINGS | one):
@@ -90,7 +91,7 @@ class SeenTexts:
         with scratch.settings(self.spark, SETTINGS):
             raw = self.spark.read.format("statestore").load(f"{self.path}/state")
             best, n = (f.name for f in raw.schema["value"].dataType.fields)
-            return scratch.written(raw.select(F.col("key.digest").alias("digest"), F.col(f"value.`{best}`").alias("best"), F.col(f"value.`{n}`").alias("n")), "dedup-state")
+            return scratch.written(raw.select(F.col("key.digest").alias("digest"), F.col(f"value.`{best}`").alias("best"), F.col(f"value.`{n}`").alias("n")), "dedup-state", raw=False)
 
     def groups(self) -> DataFrame:
         """Return uid, batch, doc_id, digest, keep_id, group_size, kept of each row; see `exact_groups`."""

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a batch for Python workers.
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: For each file that it makes, a local file system starts a process to set the file's mode; the raw one doesn't.
+RAW = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _owner: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owner", default=None)
 #: This process's folder below each root.
 _own: dict[str, str] = {}
@@ -70,14 +72,15 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, raw: bool = True) -> DataFrame:
     """Write `df` as Parquet and read it back: lineage is cut, lost executors cost nothing.
 
-    Batches for Python workers are small meanwhile: each is held on both sides.
+    Batches for Python workers are small meanwhile: each is held on both sides.  State stores
+    can't be read through the raw local file system.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    with settings(spark, BATCHES):
+    with settings(spark, BATCHES | (RAW if raw else {})):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
