@@ -35,9 +35,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language the classifier can tell."""
     from tidewell.llm.language_id import UNKNOWN, fit_sample, identify
 
+    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     with _tables(spark):
-        judged = identify(docs, fit_sample(docs))
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+        model = fit_sample(docs)
+        if {"lang_pred", "score"}.isdisjoint(docs.columns):
+            return identify(docs, model).where(sure).select(*[F.col(f"`{c}`") for c in docs.columns])
+        whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+        return identify(whole, model).where(sure).select("doc.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
