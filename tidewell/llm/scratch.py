@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a batch for Python workers.
-BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 #: For each file that it makes, a local file system starts a process to set the file's mode; the raw one doesn't.
 RAW = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _owner: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owner", default=None)
@@ -113,12 +113,21 @@ def drop(table: DataFrame) -> None:
     remove(table.sparkSession, list({f.rsplit("/", 1)[0] for f in table.inputFiles()}))
 
 
+def trim() -> None:
+    """Give free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files that no live plan refers to."""
     import gc
 
     gc.collect()
     spark._jvm.System.gc()
+    trim()
 
 
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -132,9 +141,6 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim()
 
     return tidy

@@ -42,7 +42,7 @@ TRIED, GROWTH = 32, 16
 #: Candidates of a node that meet at one key.
 SPLIT = 1024
 #: Shingles counted at once, how often one must occur in these to be counted, and how many the order knows.
-CHUNK, FREQUENT, KNOWN = 1 << 20, 4, 1 << 17
+CHUNK, FREQUENT, KNOWN = 1 << 19, 3, 1 << 18
 #: At most so many bytes of identifiers are broadcast; beyond that a shuffled join is used.
 BROADCAST_BYTES = 2 << 20
 
@@ -113,12 +113,12 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 class Order:
-    """The global order of shingles: by how often the known ones were counted (0 for others), then by hash."""
+    """The global order of shingles: by how often the known ones were counted (0 for others, 65,535 at most), then by hash."""
 
-    def __init__(self, known: list[tuple[int, int]]):
-        tokens = np.array([k for k, _ in known], dtype=np.int64).view(np.uint64)
+    def __init__(self, tokens: np.ndarray, times: np.ndarray):
+        tokens = np.asarray(tokens, dtype=np.int64).view(np.uint64)
         order = np.argsort(tokens)
-        self.tokens, self.times = tokens[order], np.array([t for _, t in known], dtype=np.int64)[order]
+        self.tokens, self.times = tokens[order], np.minimum(np.asarray(times, dtype=np.int64)[order], 0xFFFF)
 
     def counted(self, own: np.ndarray) -> np.ndarray:
         if not len(self.tokens):
@@ -128,19 +128,36 @@ class Order:
 
     def head(self, own: np.ndarray, similarity: float) -> np.ndarray:
         """The first shingles of a sorted set, of which alike sets share one at least."""
-        n = len(own)
-        first = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-        return own[np.argsort(self.counted(own), kind="stable")][:first]
+        return own[np.argsort(self.counted(own), kind="stable")][: first(len(own), similarity)]
 
-    def most(self, x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> int:
-        """The most shingles that sets of nx and ny with heads x and y can share: up to where one head
-        ends it is known which they do, and beyond they can share what is left of the smaller rest."""
-        if not len(x) or not len(y):
-            return 0
-        tx, ty = self.counted(x), self.counted(y)
-        cut = min((tx[-1], x[-1]), (ty[-1], y[-1]))
-        ix, iy = (int(((t < cut[0]) | (t == cut[0]) & (h <= cut[1])).sum()) for t, h in ((tx, x), (ty, y)))
-        return len(np.intersect1d(x[:ix], y[:iy], assume_unique=True)) + min(nx - ix, ny - iy)
+    def brief(self, own: np.ndarray, similarity: float) -> bytes:
+        """A head for `most`: how many of it aren't known, the upper halves of the hashes, the known ones' counts."""
+        head = self.head(own, similarity)
+        counts = self.counted(head)
+        return b"".join((np.array([(counts == 0).sum()], dtype="<u4").tobytes(), (head >> np.uint64(32)).astype("<u4").tobytes(), counts[counts > 0].astype("<u2").tobytes()))
+
+
+def unfolded(brief: bytes, n: int) -> np.ndarray:
+    """Counts and halves of a head of n shingles as one number each, which grow."""
+    none = int(np.frombuffer(brief, dtype="<u4", count=1)[0])
+    out = np.frombuffer(brief, dtype="<u4", count=n, offset=4).astype(np.uint64)
+    out[none:] |= np.frombuffer(brief, dtype="<u2", offset=4 + 4 * n).astype(np.uint64) << np.uint64(32)
+    return out
+
+
+def first(n: int, similarity: float) -> int:
+    """Of n shingles in the global order, how many the index holds."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def most(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> int:
+    """The most shingles that sets of nx and ny with brief heads x and y can share: before the place where
+    one head ends it is known which may be shared, and from there on the smaller rest can be."""
+    if not len(x) or not len(y):
+        return 0
+    cut = min(x[-1], y[-1])
+    ix, iy = int(np.searchsorted(x, cut)), int(np.searchsorted(y, cut))
+    return int(np.isin(x[:ix], y[:iy]).sum()) + min(nx - ix, ny - iy)
 
 
 def _prefixes(texts: DataFrame, order: Order, size: int, similarity: float) -> DataFrame:
@@ -189,7 +206,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, order: Order, size: int, simil
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [shingle_set(t.as_py(), size) for t in part.column(1)]
-                heads = [order.head(s, similarity).tobytes() for s in sets]
+                heads = [order.brief(s, similarity) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(heads, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "head", "own"])
 
     def judged(good):
@@ -204,7 +221,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, order: Order, size: int, simil
 
     def possible(nx, x, ny, y) -> bool:
         nx, ny = nx.as_py(), ny.as_py()
-        return order.most(hashes(x), nx, hashes(y), ny) >= least_overlap(nx + ny, similarity)
+        x, y = (unfolded(h.as_buffer(), first(n, similarity)) for h, n in ((x, nx), (y, ny)))
+        return most(x, nx, y, ny) >= least_overlap(nx + ny, similarity)
 
     def alike(x, y) -> bool:
         x, y = hashes(x), hashes(y)
@@ -217,7 +235,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, order: Order, size: int, simil
     heads = _dealt(_dealt(pairs, sets, "a", ["n", "head"]), sets, "b", ["n", "head"]).select("a", "b", "n_a", "head_a", "n_b", "head_b")
     left = scratch.written(heads.mapInArrow(judged(possible), "a long, b long"), "near-possible")
     scratch.release(spark)
-    both = _dealt(_dealt(left, sets, "a", ["own"]), sets, "b", ["own"]).select("a", "b", "own_a", "own_b")
+    kept = scratch.written(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-kept")
+    own = sets.join(few(kept), "node", "left_semi").select("node", "own")
+    both = _dealt(_dealt(left, own, "a", ["own"]), own, "b", ["own"]).select("a", "b", "own_a", "own_b")
     found = scratch.written(both.mapInArrow(judged(alike), "a long, b long"), "near-links")
     scratch.drop(sets)
     scratch.release(spark)
@@ -307,15 +327,15 @@ def _classes(docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame,
     """Rows (doc, row, set) and their sets' components (set, root)."""
     both = scratch.written(_sketches(docs, size), "near-rows")
     rows = both.where("row is not null")
-    known = both.where("row is null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(KNOWN).collect()
+    known = both.where("row is null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(KNOWN).toArrow()
     nodes = scratch.written(rows.groupBy("set").agg(F.min("row").alias("node"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("rows")), "near-nodes")
     texts = rows.select("row", F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("text"))
     again = scratch.written(rows.join(nodes.where("rows > 1").select("set", "node"), "set").where("row != node").select("row"), "near-again")
-    order = Order([tuple(k) for k in known])
+    order = Order(known["token"].to_numpy(), known["times"].to_numpy())
     table = scratch.written(_prefixes(texts.join(few(again), "row", "left_anti"), order, size, similarity), "near-index")
     shared = scratch.written(table.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"), "near-shared")
     scratch.release(docs.sparkSession)
-    met = scratch.written(table.join(few(shared), "token", "left_semi"), "near-met")
+    met = scratch.written(table.join(shared, "token", "left_semi"), "near-met")
     scratch.drop(table)
     scratch.release(docs.sparkSession)
     heads = met.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("head"), F.count(F.lit(1)).alias("members"))
