@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import struct
 from array import array
-from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -61,7 +60,7 @@ class Vocabulary:
 
     def valid(self, left: int, right: int) -> bool:
         """Whether merging would leave these two tokens side by side."""
-        if len(self.known) > 500_000:
+        if len(self.known) > 1_000_000:
             self.known.clear()
         fits = self.known[left << 32 | right] = self._undo(left, right)
         return fits
@@ -144,7 +143,7 @@ class Coder:
     Ids of short pre-tokens, and of short parts between safe cuts, are kept from text to text.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, pattern: str, limit: int = 500_000, longest: int = 64):
         with open(path, "rb") as f:
             self.vocabulary = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.pattern, self.limit, self.longest = regex.compile(pattern), limit, longest
@@ -162,19 +161,23 @@ class Coder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        if len(self.words) > self.limit or len(self.parts) > self.limit:
+            self.words, self.parts = {}, {}
         cuts = [cut(t) if t else [""] for t in texts]
         new = set().union(*(c[1:] for c in cuts)) - self.parts.keys()
         found = {p: self.pattern.findall(" " + p) for p in new}
         heads = [self.pattern.findall(c[0]) for c in cuts]
         fresh = self.learn({w for words in (*found.values(), *heads) for w in words} - self.words.keys())
-        ids = ChainMap(fresh, self.words).__getitem__
-        parts = {part: b"".join(map(ids, words)) for part, words in found.items()}
-        get = ChainMap(parts, self.parts).__getitem__ if parts else self.parts.__getitem__
+        self.words.update(fresh)
+        ids = self.words.__getitem__
+        for part, words in found.items():
+            self.parts[part] = b"".join(map(ids, words))
+        get = self.parts.__getitem__
         out = [b"".join([*map(ids, h), *map(get, c[1:])]) for h, c in zip(heads, cuts, strict=True)]
-        for kept, more in ((self.words, fresh), (self.parts, parts)):
-            if len(kept) + len(more) > self.limit:
-                kept.clear()
-            kept.update((k, v) for k, v in more.items() if len(k) <= self.longest)
+        for kept, more in ((self.words, fresh), (self.parts, found)):
+            for k in more:
+                if len(k) > self.longest:
+                    del kept[k]
         return out
 
     def encode(self, text: str) -> bytes:

@@ -157,7 +157,9 @@ def fit_sample(docs: DataFrame) -> Model:
     sample = rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(F.col("draw") <= F.col("share"))
     found = [tuple(r) for r in sample.select("doc_id", "text", "lang").collect()]
     found.sort(key=lambda r: (hash((r[0], 7)), r))
-    return fit([r[1] for r in found], [r[2] for r in found])
+    model = fit([r[1] for r in found], [r[2] for r in found])
+    scratch.trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
