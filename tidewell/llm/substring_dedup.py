@@ -30,17 +30,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import scratch
-from tidewell.llm.words import ONE, TWO, Names, chained, digest, mix, proof, summed, sums
+from tidewell.llm.words import ONE, TWO, chained, digest, mix, named, proof, summed, sums
 
 WINDOW = 13
+Naming = Callable[[bytes, int], int]
 #: Rounds of the symbols inside windows, and of long symbols.
 LOW, HIGH = 2, 10
 GROUP_BYTES = 2_000_000
 SEEDS = range(8)
+#: At most so many bytes of repeated ids are broadcast; beyond that a shuffled join is used.
+BROADCAST_BYTES = 4 << 20
 
 
 def _cut(names: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -65,15 +69,15 @@ def symbols(names: np.ndarray, bounds: np.ndarray, rounds: int) -> list[np.ndarr
     return levels
 
 
-def marks(names: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: the text it is in, its first word and its mark."""
+def marks(names: np.ndarray, bounds: np.ndarray, window: int = WINDOW, levels: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: the text it is in, its first word and its mark; `levels` are the first rounds' symbols, if known."""
     counts = np.maximum(np.diff(bounds) - window + 1, 0)
     text = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + bounds[:-1][text]
     if not len(at):
         return text, at, np.zeros(0, dtype=np.uint64)
     one = sums(names, ONE)
-    levels = symbols(names, bounds, LOW)
+    levels = levels or symbols(names, bounds, LOW)
     starts, ends = levels[-1][:-1], levels[-1][1:]
     # What a symbol's ends depend on: a symbol of each round before on either side.
     a, b = starts.copy(), ends.copy()
@@ -120,10 +124,19 @@ def _mapped(rows: DataFrame, run: Callable[[pa.RecordBatch], dict], ddl: str) ->
     return rows.mapInArrow(scratch.tidied(each), ddl)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, tag and text of rows that have a doc_id; equal ids with unlike texts differ by tag."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), F.encode(text, "UTF-8").alias("text")).where("doc_id is not null")
+def _tagged(docs: DataFrame, again: DataFrame | None) -> DataFrame:
+    """doc_id, tag and text: the tag is 0, but for repeated ids (`again`) a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tag = F.lit(0).cast("long")
+    if again is not None:
+        rows = rows.join(F.broadcast(again) if scratch.size(again) <= BROADCAST_BYTES else again, "doc_id", "left")
+        tag = F.when(F.col("again"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(0)
+    return rows.select("doc_id", tag.alias("tag"), "text")
+
+
+def _rows(docs: DataFrame, again: DataFrame | None) -> DataFrame:
+    """The same for rows that have a doc_id, with bytes of text; null counts as empty."""
+    return _tagged(docs, again).where("doc_id is not null").select("doc_id", "tag", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
 
 
 def _of(part: pa.RecordBatch, at: np.ndarray) -> dict:
@@ -131,19 +144,19 @@ def _of(part: pa.RecordBatch, at: np.ndarray) -> dict:
     return {"doc_id": part.column(0).take(at), "tag": part.column(1).take(at)}
 
 
-def _symbols(rows: DataFrame, window: int, seed: int) -> DataFrame:
+def _symbols(rows: DataFrame, window: int, seed: int, name: Naming) -> DataFrame:
     """Each row's marks (h1; h2 null); its long symbols and its whole sequence (h1, h2 with at and n)."""
-    known = Names(seed)
-
     def run(part: pa.RecordBatch) -> dict:
-        names, bounds = known.of(part.column(2).to_pylist())
-        text, _, mark = marks(names, bounds, window)
-        order = np.lexsort((mark, text))
-        text, mark = text[order], mark[order]
-        new = np.ones(len(mark), dtype=bool)
-        new[1:] = (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])
-        text, mark = text[new], mark[new]
-        cuts = symbols(names, bounds, HIGH)[-1]
+        names, bounds = named(part.column(2).to_pylist(), seed, name)
+        levels = symbols(names, bounds, HIGH)
+        text, _, mark = marks(names, bounds, window, levels[: LOW + 1])
+        for _ in range(2):  # neighbours mostly have one mark; what is left is sorted
+            new = np.ones(len(mark), dtype=bool)
+            new[1:] = (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])
+            text, mark = text[new], mark[new]
+            order = np.lexsort((mark, text))
+            text, mark = text[order], mark[order]
+        cuts = levels[-1]
         long = np.flatnonzero(np.diff(cuts) >= window)
         whole = np.flatnonzero(np.diff(bounds) >= window)
         starts, ends = np.concatenate((cuts[long], bounds[whole])), np.concatenate((cuts[long + 1], bounds[whole + 1]))
@@ -161,19 +174,19 @@ def _symbols(rows: DataFrame, window: int, seed: int) -> DataFrame:
     return _mapped(rows, run, "h1 long, h2 long, doc_id long, tag long, at int, n int")
 
 
-def _windows(rows: DataFrame, window: int, seed: int) -> DataFrame:
-    """Windows of rows (doc_id, tag, text, marks, gone) that have one of the marks and aren't inside what goes: h1, h2, doc_id, tag, at, n."""
-    known = Names(seed)
-
+def _windows(rows: DataFrame, window: int, seed: int, name: Naming) -> DataFrame:
+    """Windows of rows (doc_id, tag, text, marks, gone) that have one of the marks and aren't inside what goes: h1, h2, doc_id, tag, at."""
     def run(part: pa.RecordBatch) -> dict:
-        names, bounds = known.of(part.column(2).to_pylist())
+        names, bounds = named(part.column(2).to_pylist(), seed, name)
         text, at, mark = marks(names, bounds, window)
         lists = part.column(3)
         own = np.asarray(lists.flatten()).view(np.uint64)
         of = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-        # Join (text, mark) with the lists by one sorted array of mixed pairs.
+        # Join (text, mark) with the lists by one sorted array of mixed pairs, neighbours of one mark at once.
         pair = lambda t, m: mix(m ^ mix(t.astype(np.uint64) + ONE))
-        keep = np.isin(pair(text, mark), pair(of, own))
+        new = np.ones(len(mark), dtype=bool)
+        new[1:] = (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])
+        keep = np.isin(pair(text[new], mark[new]), pair(of, own))[np.cumsum(new) - 1]
         # A window inside a symbol that goes ends where no more is covered than the window itself.
         cover = np.zeros(len(names) + 1, dtype=np.int64)
         for i, spans in enumerate(part.column(4)):
@@ -185,16 +198,19 @@ def _windows(rows: DataFrame, window: int, seed: int) -> DataFrame:
         keep &= np.cumsum(cover)[start] == 0
         text, at, start = text[keep], at[keep], start[keep]
         h1, h2 = (chained(names, start, window, base).view(np.int64) for base in (ONE, TWO))
-        return {"h1": pa.array(h1), "h2": pa.array(h2), **_of(part, text), "at": pa.array(at, pa.int32()), "n": pa.array(np.full(len(at), window, dtype=np.int32))}
+        return {"h1": pa.array(h1), "h2": pa.array(h2), **_of(part, text), "at": pa.array(at, pa.int32())}
 
-    return _mapped(rows, run, "h1 long, h2 long, doc_id long, tag long, at int, n int")
+    return _mapped(rows, run, "h1 long, h2 long, doc_id long, tag long, at int")
 
 
-def _gone(named: DataFrame, what: str) -> DataFrame:
-    """Of named places those whose name a smaller document has, with a place there: l_id, l_tag, l_at."""
-    low = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("l_id"), F.max("doc_id").alias("high"), F.min_by("tag", "doc_id").alias("l_tag"), F.min_by("at", "doc_id").alias("l_at"))
+def _gone(places: DataFrame, what: str, n: Column, tagged: bool) -> DataFrame:
+    """Of named places those whose name a smaller document has, with a place there: l_id, l_tag, l_at.
+    Without `tagged` all tags are 0."""
+    tag = F.min_by("tag", "doc_id") if tagged else F.lit(0).cast("long")
+    low = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("l_id"), F.max("doc_id").alias("high"), tag.alias("l_tag"), F.min_by("at", "doc_id").alias("l_at"))
     low = scratch.written(low.where("l_id < high").drop("high"), f"repeats-{what}-low")
-    found = named.join(low, ["h1", "h2"]).where("l_id < doc_id").select("doc_id", "tag", "at", "n", "l_id", "l_tag", "l_at")
+    scratch.release(places.sparkSession)
+    found = places.join(low, ["h1", "h2"]).where("l_id < doc_id").select("doc_id", "tag", "at", n.alias("n"), "l_id", "l_tag", "l_at")
     return scratch.written(found, f"repeats-{what}-gone")
 
 
@@ -236,7 +252,7 @@ def _segments(gone: DataFrame) -> DataFrame:
     return rows.mapInArrow(scratch.tidied(run), "doc_id long, tag long, at int, n int, l_id long, l_tag long, l_at int")
 
 
-def _false(segments: DataFrame, docs: DataFrame) -> bool:
+def _false(segments: DataFrame, rows: DataFrame) -> bool:
     """Whether words of a segment differ from those at the place that it is said to repeat."""
     own = segments.select("doc_id", "tag", "at", "n")
     asked = own.unionByName(segments.select(F.col("l_id").alias("doc_id"), F.col("l_tag").alias("tag"), F.col("l_at").alias("at"), "n")).distinct()
@@ -255,35 +271,34 @@ def _false(segments: DataFrame, docs: DataFrame) -> bool:
         ints = {k: pa.array(out[k], pa.int32()) for k in ("at", "n")}
         return {**_of(part, np.array(of, dtype=np.int64)), **ints, "proof": pa.array(out["proof"], pa.binary())}
 
-    rows = _rows(docs).join(asked, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
+    rows = rows.join(asked, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
     proofs = scratch.written(_mapped(rows, run, "doc_id long, tag long, at int, n int, proof binary").distinct(), "repeats-proofs")
     there = proofs.select(F.col("doc_id").alias("l_id"), F.col("tag").alias("l_tag"), F.col("at").alias("l_at"), "n", F.col("proof").alias("wanted"))
     both = segments.join(proofs, ["doc_id", "tag", "at", "n"]).join(there, ["l_id", "l_tag", "l_at", "n"])
     return not both.where("proof != wanted").isEmpty()
 
 
-def _repeats(docs: DataFrame, window: int, seed: int) -> DataFrame:
+def _repeats(rows: DataFrame, window: int, seed: int, name: Naming, tagged: bool) -> DataFrame:
     """Segments that go, not yet verified: doc_id, tag, at, n, l_id, l_tag, l_at."""
-    spark = docs.sparkSession
-    rows = _rows(docs)
-    named = scratch.written(_symbols(rows, window, seed), "repeats-symbols")
-    long = _gone(named.where("h2 is not null"), "long")
+    spark = rows.sparkSession
+    own_names = scratch.written(_symbols(rows, window, seed, name), "repeats-symbols")
+    long = _gone(own_names.where("h2 is not null"), "long", F.col("n"), tagged)
     # A symbol that is the whole text is in the table twice, as a row of equal texts is.
-    sizes = named.where("h2 is not null").groupBy("doc_id", "tag").agg(F.max("n").alias("size"))
+    sizes = own_names.where("h2 is not null").groupBy("doc_id", "tag").agg(F.max("n").alias("size"))
     copies = scratch.written(long.where("at = 0").join(sizes, ["doc_id", "tag"]).where("n = size").select("doc_id", "tag").distinct(), "repeats-copies")
-    own = named.where("h2 is null").select(F.col("h1").alias("mark"), "doc_id", "tag")
+    own = own_names.where("h2 is null").select(F.col("h1").alias("mark"), "doc_id", "tag")
     shared = own.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark")
     shared = scratch.written(shared, "repeats-shared")
     scratch.release(spark)
     lists = own.join(shared, "mark", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("mark").alias("marks"))
     inside = long.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
     lists = scratch.written(lists.join(copies, ["doc_id", "tag"], "left_anti").join(inside, ["doc_id", "tag"], "left"), "repeats-lists")
-    scratch.drop(named)
+    scratch.drop(own_names)
     scratch.release(spark)
-    windows = scratch.written(_windows(rows.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks", "gone"), window, seed), "repeats-windows")
+    windows = scratch.written(_windows(rows.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks", "gone"), window, seed, name), "repeats-windows")
     scratch.drop(lists)
     scratch.release(spark)
-    short = _gone(windows, "short")
+    short = _gone(windows, "short", F.lit(window), tagged)
     scratch.drop(windows)
     scratch.release(spark)
     # Of a whole copy its longest symbol says all.
@@ -315,24 +330,26 @@ def _kept(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(scratch.tidied(run), "doc_id long, n_words long, n_removed long, text string")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, name: Naming = xxhash.xxh64_intdigest) -> DataFrame:
     """Return doc_id, n_words, n_removed, text (kept words joined by one space) for each row.
 
     Null and empty texts have no words; texts shorter than a window lose none.  A null
     doc_id is neither smaller nor larger than any, so its row stays whole.  Rows with the
     same doc_id are one document: none of them is smaller than another.  No rows: an empty
-    result.  Other columns are ignored.
+    result.  Other columns are ignored.  `name` gives a word's 64-bit name for a seed.
     """
     spark = docs.sparkSession
+    again = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
+    again = scratch.written(again.select("doc_id", F.lit(True).alias("again")), "repeats-again")
+    again = None if again.isEmpty() else again
+    rows = _rows(docs, again)
     for seed in SEEDS:
-        segments = _repeats(docs, window, seed)
-        false = _false(segments, docs)
+        segments = _repeats(rows, window, seed, name, again is not None)
+        false = _false(segments, rows)
         scratch.release(spark)
         if not false:
             break
     else:
         raise RuntimeError("words share names under every seed")
     gone = scratch.written(segments.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "repeats-gone")
-    text = F.col("text").cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), text.alias("text"))
-    return _kept(texts.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "spans"))
+    return _kept(_tagged(docs, again).join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "spans"))

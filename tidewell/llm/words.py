@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import repeat
 
 import numpy as np
 import xxhash
@@ -37,28 +38,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Names(dict):
-    """XXH64 of words for one seed; forgotten when `limit` short words are known."""
-
-    def __init__(self, seed: int, limit: int = 200_000, longest: int = 64):
-        self.seed, self.limit, self.longest = seed, limit, longest
-
-    def __missing__(self, word: bytes) -> int:
-        name = xxhash.xxh64_intdigest(word, self.seed)
-        if len(word) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = name
-        return name
-
-    def of(self, texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Names of all words in order, and each text's first word (one more entry at the end)."""
-        parts, bounds, get = [], np.zeros(len(texts) + 1, dtype=np.int64), self.__getitem__
-        for i, text in enumerate(texts):
-            words = text.split() if text else ()
-            parts.append(np.fromiter(map(get, words), dtype=np.uint64, count=len(words)))
-            bounds[i + 1] = bounds[i] + len(words)
-        return np.concatenate([np.zeros(0, dtype=np.uint64), *parts]), bounds
+def named(texts: Sequence[bytes | None], seed: int, name: Callable[[bytes, int], int] = xxhash.xxh64_intdigest) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all words in order, and each text's first word (one more entry at the end)."""
+    parts, bounds = [], np.zeros(len(texts) + 1, dtype=np.int64)
+    for i, text in enumerate(texts):
+        words = text.split() if text else ()
+        parts.append(np.fromiter(map(name, words, repeat(seed)), dtype=np.uint64, count=len(words)))
+        bounds[i + 1] = bounds[i] + len(words)
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *parts]), bounds
 
 
 def sums(names: np.ndarray, base: np.uint64) -> np.ndarray:
