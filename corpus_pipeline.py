@@ -26,6 +26,7 @@ _last: list[str] = []
 def _tables(spark: SparkSession) -> Iterator[None]:
     """A stage's intermediate tables; those of the stage before go, whose result has been written."""
     scratch.remove(spark, _last)
+    scratch.release(spark)
     with scratch.collected() as paths:
         yield
     _last.extend(paths)
@@ -39,9 +40,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with _tables(spark):
         model = fit_sample(docs)
         if {"lang_pred", "score"}.isdisjoint(docs.columns):
-            return identify(docs, model).where(sure).select(*[F.col(f"`{c}`") for c in docs.columns])
-        whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-        return identify(whole, model).where(sure).select("doc.*")
+            kept = identify(docs, model).where(sure).select(*[F.col(f"`{c}`") for c in docs.columns])
+        else:
+            whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+            kept = identify(whole, model).where(sure).select("doc.*")
+        return scratch.written(kept, "language-kept")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
