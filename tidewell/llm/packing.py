@@ -50,7 +50,7 @@ class _Encoder(PartCache):
         import public_tokenizers
         import tiktoken
 
-        super().__init__(self._part, limit=60_000)
+        super().__init__(self._part, limit=160_000)
         self.path = path
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
