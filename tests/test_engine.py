@@ -328,6 +328,28 @@ def test_assign_pk(spark):
     assert sorted(r["pk"] for r in rows) == list(range(10, 1010))
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small partitions stay apart, as those of large tables do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_assign_pk_over_sampled_ranges(spark, many_ranges):
+    """Borders come from a sample; numbers have no gaps where columns beside the order are kept."""
+    wide = spark.range(20000, numPartitions=8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("other"))
+    assert sorted((r["pk"], r["id"]) for r in assign_pk(wide, "pk", 0, ["id"]).select("pk", "id", "other").collect()) == [(k + 1, k) for k in range(20000)]
+
+
+def test_long_oplog_file(spark, tmp_path, many_ranges):
+    lines = [f"i {k % 77} {k}" for k in range(20000)]
+    for part in range(4):
+        (tmp_path / f"{part}.txt").write_text("\n".join(lines[part * 5000 : part * 5000 + 5000]) + "\n")
+    rows = textfiles.read_oplog(spark, str(tmp_path)).select("seq", "op", "key", "ptr").collect()
+    assert sorted(map(tuple, rows)) == [(k, "i", k % 77, k) for k in range(20000)]
+
+
 def test_runs_over_block_borders(spark):
     values = [(i, "x" if i < 50 or i == 70 else "y") for i in range(100) if i != 60]
     rows = spark.createDataFrame(values, "row_id long, value string")
