@@ -8,8 +8,10 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.oracle import bag, expected
 from tidewell.functions import codecs
 from tidewell.operators import column, index, kv
+from tidewell.plans import registry
 from tidewell.plans.query import Select
 from tidewell.plans.registry import DRIVE
 from tidewell.plans.schema import FloatField, ForeignKey, IntegerField, StringField, Table
@@ -350,6 +352,13 @@ def test_long_oplog_file(spark, tmp_path, many_ranges):
     assert sorted(map(tuple, rows)) == [(k, "i", k % 77, k) for k in range(20000)]
 
 
+def test_sorted_keys_with_ties(spark, tmp_path, many_ranges):
+    names = ["small ", "\u00e9", "Z", "a", "\U0001f600"]
+    spark.range(20000).select(F.col("id").alias("p_partkey"), F.element_at(F.array(*map(F.lit, names)), F.pmod(F.xxhash64("id"), F.lit(5)).cast("int") + 1).alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    found = registry.sorted_keys(spark, str(tmp_path)).toPandas()
+    assert bag(found) == bag(expected(registry.oracle_sql()["sorted_keys"], part=f"{tmp_path}/part.parquet/*.parquet"))
+
+
 def test_runs_over_block_borders(spark):
     values = [(i, "x" if i < 50 or i == 70 else "y") for i in range(100) if i != 60]
     rows = spark.createDataFrame(values, "row_id long, value string")
