@@ -359,6 +359,14 @@ def test_sorted_keys_with_ties(spark, tmp_path, many_ranges):
     assert bag(found) == bag(expected(registry.oracle_sql()["sorted_keys"], part=f"{tmp_path}/part.parquet/*.parquet"))
 
 
+def test_value_store_of_many_values(spark, tmp_path, many_ranges):
+    rows = spark.range(20000, numPartitions=8).select("id", F.encode(F.sha2(F.col("id").cast("string"), 256), "UTF-8").alias("value"))
+    want = {r["id"]: bytes(r["value"]) for r in rows.collect()}
+    store = values.ValueStore(spark, str(tmp_path / "store"), values.PACKED)
+    assert store.append(rows, ["id"]) == (0, 20000)
+    assert {r.ordinal: bytes(r.value) for r in store.get().collect()} == want
+
+
 def test_runs_over_block_borders(spark):
     values = [(i, "x" if i < 50 or i == 70 else "y") for i in range(100) if i != 60]
     rows = spark.createDataFrame(values, "row_id long, value string")
