@@ -367,6 +367,13 @@ def test_value_store_of_many_values(spark, tmp_path, many_ranges):
     assert {r.ordinal: bytes(r.value) for r in store.get().collect()} == want
 
 
+def test_translated_values_of_many_events(spark, tmp_path, many_ranges):
+    kinds = F.element_at(F.array(*map(F.lit, ("view", "click", "error"))), (F.col("id") % 3).cast("int") + 1)
+    spark.range(20000).select((F.col("id") * 7).alias("event_id"), kinds.alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.value_translator(spark, str(tmp_path)).toPandas()
+    assert bag(found) == bag(expected(registry.oracle_sql()["value_translator"], events=f"{tmp_path}/events.parquet/*.parquet"))
+
+
 def test_runs_over_block_borders(spark):
     values = [(i, "x" if i < 50 or i == 70 else "y") for i in range(100) if i != 60]
     rows = spark.createDataFrame(values, "row_id long, value string")
