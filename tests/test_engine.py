@@ -359,6 +359,14 @@ def test_sorted_keys_with_ties(spark, tmp_path, many_ranges):
     assert bag(found) == bag(expected(registry.oracle_sql()["sorted_keys"], part=f"{tmp_path}/part.parquet/*.parquet"))
 
 
+def test_sorted_keys_with_nulls(spark, tmp_path):
+    """The SQL has nulls last."""
+    rows = [(3, "b"), (None, "b"), (2, None), (1, "a"), (None, "a"), (4, "")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = registry.sorted_keys(spark, str(tmp_path)).toPandas()
+    assert bag(found) == bag(expected(registry.oracle_sql()["sorted_keys"], part=f"{tmp_path}/part.parquet/*.parquet"))
+
+
 def test_value_store_of_many_values(spark, tmp_path, many_ranges):
     rows = spark.range(20000, numPartitions=8).select("id", F.encode(F.sha2(F.col("id").cast("string"), 256), "UTF-8").alias("value"))
     want = {r["id"]: bytes(r["value"]) for r in rows.collect()}

@@ -46,13 +46,14 @@ def delete_keys(current: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def assign_pk(rows: DataFrame, key: str, after: int, order: list[str]) -> DataFrame:
-    """Number rows from `after` + 1 in order: ranks inside range partitions plus the partitions' offsets.
+    """Number rows from `after` + 1 in order, nulls last: ranks inside range partitions plus the partitions' offsets.
 
     The partitions are written once, and offsets and ranks both come from what is written: Spark samples
     the borders anew for each plan and merges small partitions by its size, so two plans number differently.
     """
     spark = rows.sparkSession
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    by = [F.col(c).asc_nulls_last() for c in order]
+    spread = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     ranked = spread.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() % (1 << 33))
     path = folders.new_folder(spark, "numbered")
     ranked.write.parquet(path)
