@@ -383,6 +383,12 @@ def test_value_store_of_nulls_and_alphabets(spark, tmp_path):
     assert bag(found) == bag(expected(registry.oracle_sql()["value_store"], **tables))
 
 
+def test_value_translator_with_nulls(spark, tmp_path):
+    tables = _odd_tables(spark, tmp_path)
+    found = registry.value_translator(spark, str(tmp_path)).toPandas()
+    assert bag(found) == bag(expected(registry.oracle_sql()["value_translator"], **tables))
+
+
 def test_value_store_of_many_values(spark, tmp_path, many_ranges):
     rows = spark.range(20000, numPartitions=8).select("id", F.encode(F.sha2(F.col("id").cast("string"), 256), "UTF-8").alias("value"))
     want = {r["id"]: bytes(r["value"]) for r in rows.collect()}
