@@ -24,11 +24,16 @@ _last: list[str] = []
 
 @contextlib.contextmanager
 def _tables(spark: SparkSession) -> Iterator[None]:
-    """A stage's intermediate tables; those of the stage before go, whose result has been written."""
+    """A stage's intermediate tables; those of the stage before go, whose result has been written.
+
+    Heap goes back at both ends: while executors make a file, the local file system's `chmod` counts all of it twice.
+    """
     scratch.remove(spark, _last)
     scratch.release(spark)
+    scratch.shrink(spark)
     with scratch.collected() as paths:
         yield
+    scratch.shrink(spark)
     _last.extend(paths)
 
 

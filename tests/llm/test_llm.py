@@ -327,6 +327,28 @@ def test_similar_shared_passages(spark, monkeypatch, block, tried, frequent):
     assert 5 < len({r for _, r in wanted}) < len(texts)
 
 
+def test_buckets_with_equal_members_are_tried_once(spark):
+    """Of these the first in the global order, whose pairs have the most room; buckets with other members stay."""
+    members = {10: {1: 4, 2: 5, 3: 6}, 11: {1: 2, 2: 4, 3: 1}, 12: {1: 7, 2: 9, 3: 8}, 13: {1: 3, 2: 3, 4: 3}, 14: {1: 0, 2: 0}, 15: {1: 9, 2: 9, 3: 9, 4: 9}}
+    met = spark.createDataFrame([(t, k, 40, p) for t, own in members.items() for k, p in own.items()], "token long, node long, n int, pos int")
+    heads = met.groupBy("token").agg(F.count(F.lit(1)).alias("members"))
+    assert sorted(r.token for r in similar._distinct_buckets(met, heads).collect()) == [11, 13, 15]
+
+
+def test_stages_begin_and_end_with_executors_that_gave_back_heap(spark, monkeypatch):
+    """In local mode the driver's JVM is the executor's: it collects all garbage though the driver's own release is off."""
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(corpus_pipeline.scratch, "release", lambda spark: None)
+    before = full()
+    with corpus_pipeline._tables(spark):
+        begun = full()
+        assert begun > before
+    assert full() > begun
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     words = [f"w{k}" for k in range(100)]
     near = " ".join([*words[:-1], "end"])

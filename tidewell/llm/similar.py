@@ -235,12 +235,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, order: Order, size: int, simil
     heads = _dealt(_dealt(pairs, sets, "a", ["n", "head"]), sets, "b", ["n", "head"]).select("a", "b", "n_a", "head_a", "n_b", "head_b")
     left = scratch.written(heads.mapInArrow(judged(possible), "a long, b long"), "near-possible")
     scratch.release(spark)
+    scratch.shrink(spark)
     kept = scratch.written(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-kept")
     own = sets.join(few(kept), "node", "left_semi").select("node", "own")
     both = _dealt(_dealt(left, own, "a", ["own"]), own, "b", ["own"]).select("a", "b", "own_a", "own_b")
     found = scratch.written(both.mapInArrow(judged(alike), "a long, b long"), "near-links")
     scratch.drop(sets)
     scratch.release(spark)
+    scratch.shrink(spark)
     return found
 
 
@@ -318,6 +320,18 @@ def _meetings(live: DataFrame, most: int, similarity: float) -> DataFrame:
     return others.unionByName(asked).repartition(*cell).sortWithinPartitions(*cell).mapInArrow(scratch.tidied(run), "token long, a long, b long, more boolean")
 
 
+def _distinct_buckets(met: DataFrame, heads: DataFrame) -> DataFrame:
+    """token of the buckets that are left to be tried: those of more than two, and of buckets with the same
+    members (by 128 bits) the first in the global order.
+
+    Its shingle stands first in each member, which leaves all pairs at least the room that the others leave.
+    """
+    large = heads.where("members > 2").select("token")
+    names = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"name{k}") for k in (1, 2)]
+    own = met.join(large, "token", "left_semi").groupBy("token").agg(*names, F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "pos")).alias("at"))
+    return own.groupBy("members", "name1", "name2", F.col("at.node").alias("node")).agg(F.min(F.struct(F.col("at.pos").alias("pos"), "token")).alias("first")).select("first.token")
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     """Unordered pairs (a > b), once each."""
     return rows.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
@@ -335,9 +349,11 @@ def _classes(docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame,
     table = scratch.written(_prefixes(texts.join(few(again), "row", "left_anti"), order, size, similarity), "near-index")
     shared = scratch.written(table.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"), "near-shared")
     scratch.release(docs.sparkSession)
+    scratch.shrink(docs.sparkSession)
     met = scratch.written(table.join(shared, "token", "left_semi"), "near-met")
     scratch.drop(table)
     scratch.release(docs.sparkSession)
+    scratch.shrink(docs.sparkSession)
     heads = met.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("head"), F.count(F.lit(1)).alias("members"))
     heads = scratch.written(heads.select("token", "members", F.col("head.node").alias("b"), F.col("head.n").alias("bn"), F.col("head.pos").alias("bp")), "near-heads")
     fitting = met.join(heads, "token").where(_possible(F.col("n"), F.col("pos"), F.col("bn"), F.col("bp"), similarity))
@@ -347,8 +363,7 @@ def _classes(docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame,
     pairs = fitting.select(F.col("node").alias("a"), "b").unionByName(near.select(F.col("na").alias("a"), F.col("nb").alias("b"))).unionByName(alike.select(F.col("node").alias("a"), F.col("first").alias("b")))
     tried = scratch.written(_pairs(pairs), "near-tried")
     found = _verified(tried, texts, order, size, similarity)
-    # Buckets of two are done.
-    table, most = scratch.written(met.join(heads.where("members > 2").select("token"), "token", "left_semi"), "near-table"), TRIED
+    table, most = scratch.written(met.join(_distinct_buckets(met, heads), "token", "left_semi"), "near-table"), TRIED
     while True:
         roots = scratch.written(components(found), "near-roots")
         if table.isEmpty():
