@@ -327,6 +327,50 @@ def test_similar_shared_passages(spark, monkeypatch, block, tried, frequent):
     assert 5 < len({r for _, r in wanted}) < len(texts)
 
 
+def test_similar_passages_of_many_texts_make_no_pairs(spark, monkeypatch):
+    """Passages that no chunk shows to be frequent, in long texts that are else unlike and have near copies."""
+    monkeypatch.setattr(similar, "FREQUENT", 10**9)
+    rng = random.Random(9)
+    texts = []
+    for k in range(60):
+        own = [f"t{k}w{j}" for j in range(300)]
+        at = rng.randint(0, 300)
+        words = [*own[:at], *(f"p{k % 2}w{j}" for j in range(60)), *own[at:]]
+        texts.append(" ".join(words))
+        if k % 10 == 0:
+            texts.append(" ".join([*words[:-4], "end"]))
+    made, written = [], similar.scratch.written
+
+    def counted(df, name, *more):
+        out = written(df, name, *more)
+        if name in ("near-meetings", "near-tried"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar.scratch, "written", counted)
+    found = similar.similar_groups(frame(spark, list(enumerate(texts)))).collect()
+    assert sorted(tuple(r) for r in found) == list(enumerate(alike(texts)))
+    assert sum(made) <= len(texts)
+
+
+def test_raised_order_moves_no_shingle_forward():
+    """Sets without a raised shingle among their first ones keep these; counts never fall."""
+    rng = np.random.default_rng(3)
+    names = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    old = similar.Order(names[::3].view(np.int64), rng.integers(1, 9, len(names[::3])))
+    raised = rng.choice(names, 40, replace=False)
+    new = old.raised(raised.view(np.int64), np.full(40, 5))
+    assert (new.counted(names) == np.maximum(old.counted(names), np.where(np.isin(names, raised), 5, 0))).all()
+    same = 0
+    for _ in range(300):
+        own = np.sort(rng.choice(names, 30, replace=False))
+        before = old.head(own, 0.8)
+        if not np.isin(before, raised).any():
+            same += 1
+            assert (new.head(own, 0.8) == before).all()
+    assert same > 20
+
+
 def test_buckets_with_equal_members_are_tried_once(spark):
     """Of these the first in the global order, whose pairs have the most room; buckets with other members stay."""
     members = {10: {1: 4, 2: 5, 3: 6}, 11: {1: 2, 2: 4, 3: 1}, 12: {1: 7, 2: 9, 3: 8}, 13: {1: 3, 2: 3, 4: 3}, 14: {1: 0, 2: 0}, 15: {1: 9, 2: 9, 3: 9, 4: 9}}

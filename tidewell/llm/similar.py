@@ -12,7 +12,10 @@ the shingle stands first, which has the fewest shingles of its own; then only ho
 don't yet join, outside the bucket's commonest component against all, in cells of at most
 `BLOCK` by `BLOCK` rows, until no bucket holds an untried pair.
 
-The order takes counts of shingles that are frequent in some task's chunk, over all texts.  It
+The order takes counts of shingles that are frequent in some task's chunk, over all texts.  A
+passage that many texts share, but few of a chunk, is unknown to these, and its buckets would
+make pairs with the square of its texts; so shingles that the index itself shows to be frequent
+are ordered anew, and texts that have one among their first ones are indexed again.  The order
 decides how large buckets are, never what is found.
 
 Scale: equal sets are one node.  The index holds a fifth of all shingles, aggregated once by
@@ -43,6 +46,8 @@ TRIED, GROWTH = 32, 16
 SPLIT = 1024
 #: Shingles counted at once, how often one must occur in these to be counted, and how many the order knows.
 CHUNK, FREQUENT, KNOWN = 1 << 19, 3, 1 << 18
+#: Holders in the index from which a shingle is ordered anew, and how often that is done at most.
+HOLDERS, ROUNDS = 8, 6
 #: At most so many bytes of identifiers are broadcast; beyond that a shuffled join is used.
 BROADCAST_BYTES = 2 << 20
 
@@ -126,6 +131,15 @@ class Order:
         at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
         return np.where(self.tokens[at] == own, self.times[at], 0)
 
+    def raised(self, tokens: np.ndarray, times: np.ndarray) -> Order:
+        """An order that counts these shingles at least so often.  All known ones stay and none comes earlier than
+        before, so the first shingles of a set that holds none of these among them are the same in both orders."""
+        tokens = np.concatenate((self.tokens, np.asarray(tokens, dtype=np.int64).view(np.uint64)))
+        names, at = np.unique(tokens, return_inverse=True)
+        most = np.zeros(len(names), dtype=np.int64)
+        np.maximum.at(most, at, np.concatenate((self.times, np.asarray(times, dtype=np.int64))))
+        return Order(names.view(np.int64), most)
+
     def head(self, own: np.ndarray, similarity: float) -> np.ndarray:
         """The first shingles of a sorted set, of which alike sets share one at least."""
         return own[np.argsort(self.counted(own), kind="stable")][: first(len(own), similarity)]
@@ -180,6 +194,38 @@ def _prefixes(texts: DataFrame, order: Order, size: int, similarity: float) -> D
     return texts.mapInArrow(scratch.tidied(run), "token long, node long, n int, pos int")
 
 
+def _index(texts: DataFrame, order: Order, size: int, similarity: float) -> tuple[DataFrame, DataFrame, Order]:
+    """The prefixes of all texts (row, text), their tokens with two nodes at least (token), and the order that they're in."""
+
+    def held(table: DataFrame) -> DataFrame:
+        return table.groupBy("token").agg(F.count(F.lit(1)).alias("members"))
+
+    def tidy() -> None:
+        scratch.release(texts.sparkSession)
+        scratch.shrink(texts.sparkSession)
+
+    def underrated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = order.counted(batch.column(0).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(np.minimum(batch.column(1).to_numpy(), 0xFFFF) > 2 * counts))
+
+    table = last = scratch.written(_prefixes(texts, order, size, similarity), "near-index")
+    for _ in range(ROUNDS):  # after the first round only what has been indexed again can show more
+        more = held(last).where(F.col("members") >= HOLDERS).mapInArrow(scratch.tidied(underrated), "token long, members long")
+        more = scratch.written(more.orderBy(F.desc("members"), "token").limit(KNOWN), "near-underrated")
+        tidy()
+        known = more.toArrow()
+        if not len(known):
+            break
+        order = order.raised(known["token"].to_numpy(), known["members"].to_numpy())
+        anew = scratch.written(table.join(few(more.select("token")), "token", "left_semi").select(F.col("node").alias("row")).distinct(), "near-anew")
+        last = scratch.written(_prefixes(texts.join(few(anew), "row", "left_semi"), order, size, similarity), "near-index")
+        table = table.join(few(anew.withColumnRenamed("row", "node")), "node", "left_anti").select(*last.columns).unionByName(last)
+    shared = scratch.written(held(table).where("members > 1").select("token"), "near-shared")
+    tidy()
+    return table, shared, order
+
+
 def _possible(n, pos, other_n, other_pos, similarity: float):
     """Whether two sets that share a shingle at these places, and none before, can be alike enough."""
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (n + other_n) - F.lit(1e-9))
@@ -346,10 +392,7 @@ def _classes(docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame,
     texts = rows.select("row", F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("text"))
     again = scratch.written(rows.join(nodes.where("rows > 1").select("set", "node"), "set").where("row != node").select("row"), "near-again")
     order = Order(known["token"].to_numpy(), known["times"].to_numpy())
-    table = scratch.written(_prefixes(texts.join(few(again), "row", "left_anti"), order, size, similarity), "near-index")
-    shared = scratch.written(table.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"), "near-shared")
-    scratch.release(docs.sparkSession)
-    scratch.shrink(docs.sparkSession)
+    table, shared, order = _index(texts.join(few(again), "row", "left_anti"), order, size, similarity)
     met = scratch.written(table.join(shared, "token", "left_semi"), "near-met")
     scratch.drop(table)
     scratch.release(docs.sparkSession)
