@@ -525,6 +525,32 @@ def test_prefix_bpe(spark):
     assert table.edit(6, 2, b"XY").tokens() == bpe.Prefixes(vocabulary, b" interXYtionalisation"[:6] + b"XY" + b" internationalisation"[8:]).tokens()
 
 
+def test_prefix_bpe_of_many_at_once(monkeypatch):
+    """New short pre-tokens are coded together, as each by itself; what is met again is kept when tables change."""
+    rng, vocabulary = random.Random(16), bpe.coder(RANKS, public_tokenizers.PATTERN).vocabulary
+    alphabets = ["abeinorst", "aeéüñßçö", "ab'0 ", [chr(k) for k in range(32, 0x2100)] + ["\U0001f600", "漢"]]
+    words = list({"".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(1, 40))) for _ in range(3000)})
+    raws = [w.encode() for w in words]
+    alone = [array("I", bpe.Prefixes(vocabulary, r).tokens()).tobytes() for r in raws]
+    assert bpe.Batch(vocabulary).tokens(raws) == alone
+    few = bpe.Vocabulary({b"a": 0, b"b": 1, b"ab": 2, b"aba": 3})  # ab, ab before aba: the last is met by no merge of abab
+    assert bpe.Batch(few).tokens([b"abab", b"a", b"abaab"]) == [array("I", bpe.Prefixes(few, r).tokens()).tobytes() for r in (b"abab", b"a", b"abaab")]
+    for lacking in ([b"a", b"abc"], [b"abcab"]):
+        with pytest.raises(ValueError, match="lacks byte 99"):
+            bpe.Batch(few).tokens(lacking)
+    monkeypatch.setattr(bpe, "AT_ONCE", 100)
+    own, learned = bpe.Coder(RANKS, public_tokenizers.PATTERN, limit=400), []
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda w: learned.extend(w := list(w)) or learn(w))
+    monkeypatch.setattr(bpe.Prefixes, "become", lambda *_: pytest.fail("a short pre-token coded by itself"))
+    for k in range(40):
+        own.encode("often oftener " + " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j % 26)}zq{chr(97 + j // 26)}" for j in range(60)))
+    assert learned.count(" oftener") == 1 and max(len(own.words), len(own.parts)) <= 400
+    assert own.encode("a  b\t c  \n 'd e ") == bpe.coder(RANKS, public_tokenizers.PATTERN).encode("a  b\t c  \n 'd e ")
+    blanks = bpe.Coder(RANKS, r"\w+")  # a pattern that skips text
+    assert blanks.encode("ab cd, ef") == b"".join(map(blanks.encode, ("ab", "cd", "ef")))
+
+
 @pytest.mark.parametrize("cell", [1 << 14, 3])
 def test_packing(spark, monkeypatch, cell):
     monkeypatch.setattr(packing, "CELL", cell)

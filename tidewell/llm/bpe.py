@@ -3,7 +3,8 @@
 For each prefix of a pre-token's bytes exactly one vocabulary token can end the
 prefix's encoding: the one that, next to the last token of the shorter prefix before
 it, would survive as a pair.  Storing that token for each prefix makes appends exact
-and cheap, and an edit re-encodes from the edited byte on.
+and cheap, and an edit re-encodes from the edited byte on.  `Prefixes` holds one pre-token's;
+`Batch` finds those of many at once, prefixes of one length after those of the length before.
 
 Scale: one map-side pass without an exchange.  Caches hold a bounded number of short strings, and
 a group of texts is coded at once whose size is bounded but for one long text.
@@ -16,6 +17,7 @@ import struct
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.chunks import cut
 
+#: Pre-tokens of at most so many bytes are coded together, at most so many at once.
+SHORT, AT_ONCE = 128, 20_000
 _coders: dict[tuple[str, str], "Coder"] = {}
 
 
@@ -137,6 +141,103 @@ class Prefixes:
         return out
 
 
+class Batch:
+    """Last tokens of all prefixes of many pre-tokens at once, which hold no byte 255 (no UTF-8 does)."""
+
+    END = 255
+    #: Slots of the cache of judged pairs, as a power of two, and the multiplier that spreads them.
+    BITS, SPREAD = 19, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.lengths = np.array([len(b) for b in vocabulary.tokens], dtype=np.int64)
+        self.judged = np.full(1 << self.BITS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        # A trie of the tokens.  A node's children lie at its base plus their byte, where `check` has that base.
+        children: dict[bytes, list[int]] = {}
+        for b in vocabulary.reached:
+            for i in range(len(b) - 1, -1, -1):
+                own = children.setdefault(b[:i], [])
+                if b[i] not in own:
+                    own.append(b[i])
+                if len(own) > 1:
+                    break  # the prefix had children before, so its own prefixes know it
+        size = 1 << max(12, (4 * len(children)).bit_length())
+        taken, bases, at = bytearray(size + 256), {}, 1
+        used = bytearray(size)
+        for node in sorted(children, key=lambda n: -len(children[n])):
+            while used[at] or any(taken[at + c] for c in children[node]):
+                at = (at * 1_103_515_245 + 12_345) % size or 1
+            bases[node], used[at] = at, 1
+            for c in children[node]:
+                taken[at + c] = 1
+        self.check, self.next, self.token = (np.full(size + 256, x, dtype=np.int32) for x in (0, 0, -1))
+        for node, own in children.items():
+            base = bases[node]
+            for c in own:
+                if c != self.END or not node:
+                    child = node + bytes((c,))
+                    self.check[base + c], self.next[base + c], self.token[base + c] = base, bases.get(child, 0), vocabulary.reached.get(child, -1)
+        self.root = bases.get(b"", 1)
+
+    def _valid(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging would leave these pairs of tokens side by side."""
+        pairs = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        slots = pairs * self.SPREAD >> np.uint64(64 - self.BITS)
+        got = self.judged[slots]
+        new = np.flatnonzero(got >> np.uint64(1) != pairs)
+        if len(new):
+            some, of = np.unique(pairs[new], return_inverse=True)
+            known, valid = self.vocabulary.known.get, self.vocabulary.valid
+            fits = [valid(p >> 32, p & 0xFFFFFFFF) if (f := known(p)) is None else f for p in some.tolist()]
+            judged = (some << np.uint64(1) | np.array(fits, dtype=np.uint64))[of]
+            self.judged[slots[new]] = got[new] = judged
+        return got & np.uint64(1) == 1
+
+    def tokens(self, words: list[bytes]) -> list[bytes]:
+        """Ids of non-empty pre-tokens as unsigned 32-bit integers."""
+        data = np.frombuffer(b"\xff".join(words) + b"\xff", dtype=np.uint8)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        longest_first = np.argsort(-lengths, kind="stable")
+        ordered, reach = starts[longest_first], np.sort(lengths)
+        last = np.full(len(data), -1, dtype=np.int32)  # of each word's prefix that ends before this byte
+        for at in range(int(reach[-1])):
+            here = ordered[: len(words) - int(np.searchsorted(reach, at, side="right"))] + at
+            left = last[here]
+            if at and int(left.min()) < 0:
+                raise ValueError(f"the vocabulary lacks byte {data[here[np.argmin(left)] - 1]}")
+            node = np.full(len(here), self.root, dtype=np.int32)
+            while len(here):
+                slot = node + data[here]
+                here = here + 1
+                inside = self.check[slot] == node
+                token = np.where(inside, self.token[slot], -1)
+                ends = np.flatnonzero(token >= 0)
+                if at and len(ends):
+                    ends = ends[self._valid(left[ends], token[ends])]
+                last[here[ends]] = token[ends]
+                node = np.where(inside, self.next[slot], 0)
+                on = np.flatnonzero(node)
+                here, left, node = here[on], left[on], node[on]
+        # Tokens from each word's end to its start.
+        of, at, counts, steps = np.arange(len(words)), starts + lengths, np.zeros(len(words), dtype=np.int64), []
+        while len(of):
+            token = last[at]
+            if int(token.min()) < 0:
+                raise ValueError(f"the vocabulary lacks byte {data[at[np.argmin(token)] - 1]}")
+            steps.append((of, token))
+            counts[of] += 1
+            at = at - self.lengths[token]
+            on = at > starts[of]
+            of, at = of[on], at[on]
+        bounds = np.cumsum(counts)
+        ids = np.empty(int(bounds[-1]), dtype=np.uint32)
+        for k, (of, token) in enumerate(steps):
+            ids[bounds[of] - 1 - k] = token
+        raw, ends = ids.tobytes(), (4 * bounds).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Coder:
     """Encoder and decoder for a file of ranks and a pre-token pattern.
 
@@ -147,27 +248,57 @@ class Coder:
         with open(path, "rb") as f:
             self.vocabulary = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.pattern, self.limit, self.longest = regex.compile(pattern), limit, longest
+        self.batch = Batch(self.vocabulary)
         #: Ids of pre-tokens, and of parts without their leading space.
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        #: Those kept before, at most half of `limit` and what a group adds; what is met again is kept on.
+        self.former: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Encode pre-tokens in order, each from the prefix that it shares with the one before."""
-        table, whole, known, one = Prefixes(self.vocabulary), self.vocabulary.ranks.get, {}, struct.Struct("=I").pack
-        for raw, word in sorted((w.encode(), w) for w in words):
-            token = whole(raw)
-            known[word] = array("I", table.become(raw).tokens()).tobytes() if token is None else one(token)
+        """Encode pre-tokens: short ones at once, others in order, each from the prefix that it shares with the one before."""
+        names = list(words)
+        raws = [w.encode() for w in names]
+        whole, one = list(map(self.vocabulary.ranks.get, raws)), struct.Struct("=I").pack
+        known = {w: one(t) for w, t in zip(names, whole, strict=True) if t is not None}
+        short = [k for k, t in enumerate(whole) if t is None and 0 < len(raws[k]) <= SHORT]
+        long = [(raws[k], names[k]) for k, t in enumerate(whole) if t is None and not 0 < len(raws[k]) <= SHORT]
+        for i in range(0, len(short), AT_ONCE):
+            part = short[i : i + AT_ONCE]
+            known.update(zip([names[k] for k in part], self.batch.tokens([raws[k] for k in part]), strict=True))
+        table = Prefixes(self.vocabulary)
+        for raw, word in sorted(long):
+            known[word] = array("I", table.become(raw).tokens()).tobytes()
         return known
 
+    def _again(self, kept: dict[str, bytes], former: dict[str, bytes], new: set[str]) -> set[str]:
+        """Keep on what was kept before the last change of tables; returns it."""
+        again = new & former.keys()
+        kept.update(zip(again, map(former.__getitem__, again), strict=True))
+        return again
+
+    def _found(self, parts: list[str]) -> dict[str, list[str]]:
+        """Pre-tokens of parts with their leading space, found in one text since each ends at a safe cut."""
+        words = self.pattern.findall(" " + " ".join(parts)) if parts else []
+        lengths, sizes = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (words, parts))
+        ends, bounds = np.cumsum(lengths), np.cumsum(sizes + 1)
+        at = np.searchsorted(ends, bounds)
+        if not np.array_equal(ends[-1:], bounds[-1:]) or not np.array_equal(ends[at], bounds):  # a pattern that skips text
+            return {p: self.pattern.findall(" " + p) for p in parts}
+        stops = (at + 1).tolist()
+        return {p: words[a:b] for p, a, b in zip(parts, [0, *stops], stops, strict=False)}
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        if len(self.words) > self.limit or len(self.parts) > self.limit:
-            self.words, self.parts = {}, {}
+        if len(self.words) > self.limit // 2 or len(self.parts) > self.limit // 2:
+            self.former, self.words, self.parts = (self.words, self.parts), {}, {}
         cuts = [cut(t) if t else [""] for t in texts]
         new = set().union(*(c[1:] for c in cuts)) - self.parts.keys()
-        found = {p: self.pattern.findall(" " + p) for p in new}
+        new -= self._again(self.parts, self.former[1], new)
+        found = self._found(list(new))
         heads = [self.pattern.findall(c[0]) for c in cuts]
-        fresh = self.learn({w for words in (*found.values(), *heads) for w in words} - self.words.keys())
+        unknown = {w for words in (*found.values(), *heads) for w in words} - self.words.keys()
+        fresh = self.learn(unknown - self._again(self.words, self.former[0], unknown))
         self.words.update(fresh)
         ids = self.words.__getitem__
         for part, words in found.items():

@@ -11,12 +11,12 @@ from collections.abc import Callable
 
 #: Python's white space holds all that the pattern's does, so each cut is safe.
 CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?!\S)|\A\s|(?<= )\s")
+_ODD = re.compile(r" (?!\S)")
 
 
 def cut(text: str) -> list[str]:
     """Parts of `text`; all but the first have lost their leading space."""
-    return CUT.split(text) if _ODD.search(text) else text.split(" ")
+    return CUT.split(text) if text[:1].isspace() or _ODD.search(text) else text.split(" ")
 
 
 class PartCache(dict):
