@@ -7,7 +7,7 @@ import random
 import re
 import zlib
 from array import array
-from itertools import combinations
+from itertools import accumulate, chain, combinations
 
 import numpy as np
 import public_tokenizers
@@ -183,6 +183,26 @@ def test_substring_dedup_of_repeated_ids_and_long_copies(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in rows) == sorted(wanted)
 
 
+def test_words_named_at_once(monkeypatch):
+    """All words are named in one go: one name a word, as `split` has them, and none shared."""
+    from tidewell.llm import words
+
+    rng = random.Random(17)
+    bits = [b" ", b"\t", b"\x0b", b"\x1c", b"\x00", b"a", b"bc", "é".encode(), "\x85".encode(), b"x" * 9, b"y" * 33]
+    texts = [None, b"", b"  ", b"a", b" a b\tc\n", *(b"".join(rng.choices(bits, k=rng.randint(0, 80))) for _ in range(300)), None, b"end"]
+    split = [(t or b"").split() for t in texts]
+    long = []
+    real = words.xxhash.xxh64_intdigest
+    monkeypatch.setattr(words.xxhash, "xxh64_intdigest", lambda w, seed: long.append(w) or real(w, seed))
+    for some, parts in ((texts, split), ([], []), ([None], [[]])):
+        names, bounds = words.named(some, 3)
+        assert bounds.tolist() == [0, *accumulate(map(len, parts))] and len(names) == bounds[-1]
+        of = dict(zip(chain(*parts), names.tolist(), strict=True))
+        assert [of[w] for w in chain(*parts)] == names.tolist() and len(set(of.values())) == len(of)
+    assert len(long) > 50 and sorted(long) == sorted(w for w in chain(*split) if len(w) > words.SHORT)
+    assert not set(words.named(texts, 3)[0].tolist()) & set(words.named(texts, 4)[0].tolist())
+
+
 @pytest.mark.parametrize("low", [1, 2, 4])
 def test_marks_are_the_same_in_every_copy_of_a_window(monkeypatch, low):
     from tidewell.llm.words import named

@@ -13,6 +13,11 @@ import xxhash
 #: Odd multipliers of the mixes and of the polynomial sums.
 ONE, TWO = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
+#: Bytes up to which a word is named without XXH64; bytes that part words; masks of the lowest bytes of eight.
+SHORT = 32
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
 
 @functools.lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,8 +43,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def named(texts: Sequence[bytes | None], seed: int, name: Callable[[bytes, int], int] = xxhash.xxh64_intdigest) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all words in order, and each text's first word (one more entry at the end)."""
+def named(texts: Sequence[bytes | None], seed: int, name: Callable[[bytes, int], int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all words in order, and each text's first word (one more entry at the end).
+
+    `name` gives a word's name for a seed; without it, all words are named at once.
+    """
+    if name is None:
+        return _named(texts, seed)
     parts, bounds = [], np.zeros(len(texts) + 1, dtype=np.int64)
     for i, text in enumerate(texts):
         words = text.split() if text else ()
@@ -48,6 +58,27 @@ def named(texts: Sequence[bytes | None], seed: int, name: Callable[[bytes, int],
     return np.concatenate([np.zeros(0, dtype=np.uint64), *parts]), bounds
 
 
+def _named(texts: Sequence[bytes | None], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of up to `SHORT` bytes are mixed eight bytes at a time, in which no two of one length and up to eight bytes share a name; XXH64 names longer ones."""
+    joined = b"\n".join([b"", *(t or b"" for t in texts), bytes(8)])
+    data = np.frombuffer(joined, dtype=np.uint8)[:-8]
+    edges = np.flatnonzero(BLANK[data[1:]] != BLANK[data[:-1]]) + 1  # texts lie between blanks, so edges start and end words in turn
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    first = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts)))
+    bounds = np.searchsorted(starts, np.concatenate(([0], first)))
+    eights = np.ndarray(len(data), dtype="<u8", buffer=joined, strides=(1,))
+    own = np.arange(SHORT + 1, dtype=np.uint64) * TWO + mix(np.full(1, seed, dtype=np.uint64) + TWO)
+    names = mix((own[np.minimum(lengths, SHORT)] + (eights[starts] & LOWEST[np.minimum(lengths, 8)])) * ONE)
+    for k in range(8, SHORT, 8):
+        more = np.flatnonzero(lengths > k)
+        if not len(more):
+            break
+        names[more] = mix((names[more] + (eights[starts[more] + k] & LOWEST[np.minimum(lengths[more] - k, 8)])) * ONE)
+    for k in np.flatnonzero(lengths > SHORT).tolist():
+        names[k] = xxhash.xxh64_intdigest(joined[starts[k] : starts[k] + lengths[k]], seed)
+    return names, bounds
+
+
 def sums(names: np.ndarray, base: np.uint64) -> np.ndarray:
     up, _ = powers(base, len(names) + 1)
     return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(names * up[: len(names)], dtype=np.uint64)))
